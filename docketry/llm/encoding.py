@@ -394,3 +394,33 @@ def repair_encoding(df: DataFrame, id_cols: list[str], source_col: str, text_col
 
     slim = df.select(*id_cols, F.col(source_col).alias("__source"), F.col(text_col).alias("__text"))
     return slim.where("__text rlike '[^\\\\x00-\\\\x7f]'").mapInArrow(apply, schema)
+
+
+_READABLE: dict[str, bool] = {}
+
+
+def _readable(run: str) -> bool:
+    """Whether a common code page reads the run as UTF-8."""
+    got = _READABLE.get(run)
+    if got is None:
+        if len(_READABLE) > 200_000:
+            _READABLE.clear()
+        got = _READABLE[run] = len(_LETTERS.intersection(run)) > 1 and any(_decode(run, TABLES[n]) is not None for n in COMMON)
+    return got
+
+
+def undo_common_damage(text: str) -> str:
+    """Reads runs of one line back through the common code pages; no model, for other operators' use."""
+    for _ in range(MAX_ROUNDS):
+        runs = [r for r in _RUN.findall(text) if _readable(r)]
+        if not runs:
+            break
+        best: dict[str, str] = {}
+        for name in COMMON:
+            plain = {r: p for r in runs if (p := _decode(r, TABLES[name])) is not None and p.isprintable()}
+            if len(plain) > len(best):
+                best = plain
+        if 2 * len(best) <= len(set(runs)):
+            break
+        text = _RUN.sub(lambda m: best.get(m.group(), m.group()), text)
+    return text
