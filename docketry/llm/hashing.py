@@ -20,7 +20,8 @@ def _powers(name: str, base: np.uint64, n: int) -> np.ndarray:
         while filled < size:  # doubling: p[k:2k] = p[:k] * base**k
             k = min(filled, size - filled)
             have[filled : filled + k] = have[:k] * step
-            step = step * step
+            with np.errstate(over="ignore"):
+                step = step * step
             filled += k
         _POWERS[name] = have
     return have[:n]
