@@ -26,9 +26,9 @@ def p1_main_text(spark, sf):
 
 
 def p2_found(spark, sf):
-    docs = increments.documents_with_days(_t(spark, sf, "document_fingerprints"), _t(spark, sf, "parsed_documents"))
+    texts = _t(spark, sf, "parsed_documents").where("clean_text is not null").select(F.col("id").alias("doc_id"), "clean_text")
     since = F.to_date(F.lit(SINCE))
-    members, links = increments.agreeing_classes(docs.select("doc_id", "day", "clean_text"), since)
+    members, links = increments.agreeing_classes(texts, increments.first_days(_t(spark, sf, "document_fingerprints")), since)
     return increments.found_pairs(members, links, since)
 
 
