@@ -69,7 +69,7 @@ def _seed(order: int) -> np.uint64:
 
 def _final_rows(batches):
     for batch in batches:
-        rows, contexts, closed, copies, langs = [], [], [], [], []
+        rows, heads, closed, copies, langs = [], [], [], [], []
         for i, (lang, text) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
             if not text or not text.strip():
                 continue
@@ -79,16 +79,22 @@ def _final_rows(batches):
             start = head.rfind("\n") + 1
             if head[start:].isupper() and 2 * sum(map(str.isupper, head[start:])) > len(head) - start:
                 head = head[:start] + head[start].upper() + head[start + 1 :].lower()
-            codes = _codes("\n" + head.replace("\t", " "))
-            hashes = []
-            for order in ORDERS:
-                part = codes[-order:]
-                h = Rolling(part).spans(np.array([0]), np.array([len(part)])) if len(part) == order else None
-                hashes.append(int((mix(h ^ _seed(order))[0]).astype(np.int64)) if h is not None else None)
-            rows.append(i), contexts.append(hashes), closed.append(stop), langs.append(lang or "")
+            heads.append(head.replace("\t", " "))
+            rows.append(i), closed.append(stop), langs.append(lang or "")
             copies.append(hash64(text[-COPY_TAIL:]))
+        contexts = pa.array([], pa.list_(pa.int64()))
+        if heads:
+            codes = _codes("\n" + "\x00\n".join(heads) + "\x00")
+            ends = np.flatnonzero(codes == 0)
+            begin = np.concatenate(([0], ends[:-1] + 1))
+            roll, found, there = Rolling(codes), [], []
+            for order in ORDERS:
+                there.append(ends - begin >= order)
+                found.append(mix(roll.spans(np.maximum(ends - order, 0), ends) ^ _seed(order)).view(np.int64))
+            flat = pa.array(np.stack(found, axis=1).ravel(), mask=~np.stack(there, axis=1).ravel())
+            contexts = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, len(ORDERS), dtype=np.int32)), flat)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(langs, pa.string()), pa.array(contexts, pa.list_(pa.int64())), pa.array(closed, pa.bool_()), pa.array(copies, pa.int64())],
+            [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(langs, pa.string()), contexts, pa.array(closed, pa.bool_()), pa.array(copies, pa.int64())],
             names=["doc_id", "lang", "contexts", "closed", "copy"],
         )
 
