@@ -31,6 +31,10 @@ def scored(spark, sf) -> DataFrame:
     return cl.risk(cl.classify(parsed(spark, sf).select(*cols).where("clean_text is not null")))
 
 
+def _second(column):
+    return F.date_format(column, "yyyy-MM-dd HH:mm:ss").alias(column)
+
+
 def as_of():
     return F.lit(AS_OF).cast("timestamp")
 
@@ -99,7 +103,8 @@ def stored_already(spark, sf):
 
 def upsert_parsed(spark, sf):
     p = table(spark, sf, "parsed_documents").select("id", "status", "parsed_at")
-    return state.upsert(p.where("parsed_at < '2026-01-01'"), p.where("parsed_at >= '2026-01-01'"), "id", "parsed_at")
+    rows = state.upsert(p.where("parsed_at < '2026-01-01'"), p.where("parsed_at >= '2026-01-01'"), "id", "parsed_at")
+    return rows.select("id", "status", _second("parsed_at"))
 
 
 # --- parsing ---------------------------------------------------------------------------------------
@@ -274,7 +279,7 @@ def risk_rationale(spark, sf):
 
 
 def action_items(spark, sf):
-    return cl.plan_actions(scored(spark, sf), as_of()).select("id", "no", "key", "owner", "priority", "due_date")
+    return cl.plan_actions(scored(spark, sf), as_of()).select("id", "no", "key", "owner", "priority", F.col("due_date").cast("string").alias("due_date"))
 
 
 def action_texts(spark, sf):
@@ -366,7 +371,7 @@ def point_get(spark, sf):
 
 def list_recent(spark, sf):
     p = parsed(spark, sf).where("jurisdiction = 'RBI'").select("id", "parsed_at", "status")
-    return state.newest(p, "parsed_at", 100, "id")
+    return state.newest(p, "parsed_at", 100, "id").select("id", "status", _second("parsed_at"))
 
 
 def audit_latest(spark, sf):
