@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 LM_BUCKETS = 1 << 16  # fixed size of the bigram table, whatever the corpus
 MAX_ROUNDS = 4  # nested damage: how often a value may have been wrongly decoded
 EM_ROUNDS = 12
-MIN_GAIN = 3.0  # log-likelihood a restored run, and a value, must gain over the text as it stands
+MIN_GAIN = 1.0  # log-likelihood a restored run, and a value, must gain over the text as it stands
 COVER_SHARE = 0.005  # share of all damaged letters that only a code page must explain to be used
 UNREAD = 3.0  # log-likelihood a table loses for each damaged run of a value it cannot read
 COMMON = ("cp1252", "mac_roman", "cp437", "cp850")
@@ -55,7 +55,7 @@ def _single_byte_tables() -> dict[str, dict[int, int]]:
         try:
             if codecs.lookup(name)._is_text_encoding is False:
                 continue
-            if bytes(range(32, 127)).decode(name) != bytes(range(32, 127)).decode("ascii"):
+            if bytes(range(32, 91)).decode(name) != bytes(range(32, 91)).decode("ascii"):
                 continue
             if "Ā".encode("utf-8").decode(name, "replace").__len__() != 2:
                 continue
@@ -164,6 +164,13 @@ class Bigrams:
     def __init__(self, counts: dict[int, int]):
         self.counts = counts
         self.total = sum(n for b, n in counts.items() if b >= LM_BUCKETS) + 1.0
+        self.blocks = {(b - LM_BUCKETS) >> 7 for b in counts if b >= LM_BUCKETS} | {0}
+
+    def plausible(self, plain: str, tables, depth: int = MAX_ROUNDS) -> bool:
+        """Whether all letters are from blocks of 128 code points that sound text uses, at once or when read again."""
+        if all((ord(c) % LM_BUCKETS) >> 7 in self.blocks for c in plain):
+            return True
+        return depth > 1 and any((more := _decode(plain, t)) is not None and self.plausible(more, tables, depth - 1) for t in tables)
 
     def score(self, text: str) -> float:
         get, total, out = self.counts.get, self.total, 0.0
@@ -184,7 +191,8 @@ def _ways(groups, lm: Bigrams, names) -> list[tuple[dict[str, float], int]]:
             if plain is not None:
                 while (deeper := _decode(plain, TABLES[name])) is not None:  # damaged more than once
                     plain = deeper
-                cand[name] = lm.score(left + plain)
+                if lm.plausible(plain, ()):
+                    cand[name] = lm.score(left + plain)
         ways.append((cand, n))
     return ways
 
@@ -279,11 +287,14 @@ class Repairer:
         return got
 
     def _read(self, run: str, table: dict[int, int]) -> str | None:
+        every = [t for _, t in self.tables]
         plain = _decode(run, table)
+        if plain is not None and not self.lm.plausible(plain, every):
+            plain = None
         if plain is None and len(run) > 2:  # sound letters may touch the damaged ones
             for cut in (1, 2):
                 for a, b in ((cut, len(run)), (0, len(run) - cut)):
-                    if b - a > 1 and (part := _decode(run[a:b], table)) is not None:
+                    if b - a > 1 and (part := _decode(run[a:b], table)) is not None and self.lm.plausible(part, every):
                         return run[:a] + part + run[b:]
         return plain
 

@@ -148,8 +148,11 @@ def _table(keys, ends, total) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ends, pa.int64()), pa.array(total, pa.int64())], names=["context", "ends", "total"])
 
 
-def truncated_values(documents: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(doc_id, lang, log_odds, closed, is_cut) of every value that holds text."""
+def truncated_values(documents: DataFrame, text_col: str = "text", lang_col: str = "lang", thresholds: dict[str, float] | None = None) -> DataFrame:
+    """(doc_id, lang, log_odds, closed, is_cut) of every value that holds text.
+
+    ``thresholds`` sets other limits for the languages of this column than ``THRESHOLD``.
+    """
     small_batches(documents)
     id_type = documents.schema["doc_id"].dataType.simpleString()
     slim = documents.select("doc_id", F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("text is not null")
@@ -176,5 +179,8 @@ def truncated_values(documents: DataFrame, text_col: str = "text", lang_col: str
     p = F.aggregate("seen", F.lit(PRIOR), lambda acc, x: (x["ends"] + STRENGTH * acc) / (x["total"] + STRENGTH))
     judged = final.select("doc_id", "lang", "copy", "closed").distinct().join(per, ["doc_id", "copy"], "left").withColumn("p", F.coalesce(p, F.lit(1.0)))
     odds = F.log(F.greatest("p", F.lit(1e-9)) / F.greatest(1 - F.col("p"), F.lit(1e-9)))
-    limit = F.when(F.col("closed"), F.lit(THRESHOLD_CLOSED)).otherwise(F.lit(THRESHOLD))
+    limit = F.when(F.col("closed"), F.lit(THRESHOLD_CLOSED))
+    for lang, value in sorted((thresholds or {}).items()):
+        limit = limit.when(F.col("lang") == lang, F.lit(value))
+    limit = limit.otherwise(F.lit(THRESHOLD))
     return judged.withColumn("log_odds", odds).select("doc_id", "lang", "log_odds", "closed", (F.col("log_odds") < limit).alias("is_cut"))
