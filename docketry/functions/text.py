@@ -107,7 +107,7 @@ def content_hash(text) -> Column:
 
 
 def tokens(text) -> Column:
-    return F.regexp_extract_all(F.lower(_c(text)), F.lit(r"(?U)\w+"), F.lit(0))
+    return F.regexp_extract_all(F.lower(_c(text)), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
 
 
 def word_count(text) -> Column:

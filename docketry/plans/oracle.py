@@ -150,7 +150,7 @@ ORACLE = {
     "stream_notifications": "SELECT DISTINCT entity_id, event_type FROM audit_log WHERE event_type IN ('risk.assessed', 'action.created') AND entity_id IS NOT NULL",
     "language_detect": None,
 }
-_TOK = r"regexp_extract_all(lower(clean_text), '[\p{L}\p{N}\p{M}\p{Pc}\x{200c}\x{200d}]+')"
+_TOK = r"regexp_extract_all(lower(clean_text), '[\p{L}\p{N}_]+')"
 _SH = "CASE WHEN len(w) >= {k} THEN list_distinct(list_transform(range(1, len(w) - {k} + 2), lambda i: array_to_string(w[i:i + {k} - 1], ' '))) ELSE list_distinct(w) END"
 _SPLIT = r"list_filter(regexp_split_to_array(clean_text, '[\s\x0B\x{85}\p{Z}]+'), lambda x: x <> '')"
 ORACLE["word_and_shingle_counts"] = (
@@ -163,7 +163,7 @@ ORACLE["simhash_md5"] = (
     f"SELECT p.id, printf('%016x', coalesce(s, CAST(0 AS UBIGINT))) AS simhash_hex FROM {P} p LEFT JOIN f USING (id)"
 )
 ORACLE["jaccard_pairs"] = (
-    "WITH d AS (SELECT doc_id, title, list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}\\p{M}\\p{Pc}\\x{200c}\\x{200d}]+')) AS w FROM documents WHERE title IS NOT NULL AND text IS NOT NULL AND text <> ''), "
+    "WITH d AS (SELECT doc_id, title, list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS w FROM documents WHERE title IS NOT NULL AND text IS NOT NULL AND text <> ''), "
     "f AS (SELECT title, min(doc_id) AS first_id FROM d GROUP BY 1) SELECT d.doc_id, f.first_id, round(len(list_intersect(d.w, e.w)) / len(list_distinct(list_concat(d.w, e.w))), 6) AS jaccard "
     "FROM d JOIN f USING (title) JOIN d e ON e.doc_id = f.first_id WHERE d.doc_id > f.first_id"
 )
