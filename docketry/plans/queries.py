@@ -135,7 +135,7 @@ def reference_number(spark, sf):
 
 
 def published_date(spark, sf):
-    return parsed(spark, sf).select("id", tx.published_date("clean_text").alias("published"))
+    return parsed(spark, sf).select("id", tx.published_date("clean_text").cast("string").alias("published"))
 
 
 # --- normalisation and language ---------------------------------------------------------------------
@@ -468,5 +468,6 @@ def queries():
 
 def oracle_sql():
     from .oracle import ORACLE
+    from .oracle_text import TEXT
 
-    return dict(ORACLE)
+    return ORACLE | TEXT
