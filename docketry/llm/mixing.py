@@ -6,10 +6,7 @@ each used ``max_repeats`` times) goes to its siblings that still have room, befo
 to the level above.  Each source then fills its budget from seeded epochs: whole epochs, and a
 prefix by tokens of the last one's seeded order.
 
-The budget is the largest total at which no source would have to exceed its repeats if every
-source met its share exactly, or ``total_tokens`` where it is given; only in the latter case can
-there be shortages to redistribute.  Without a given total the default is ``epochs`` times the
-tokens of all listed sources.
+The budget is ``total_tokens``, or ``epochs`` times the tokens of all listed sources.
 
 Running sums are made per bucket of the seeded order, so no source is sorted in one task.
 
@@ -71,12 +68,10 @@ def _fill(children: dict, weights: dict, room: dict, amount: float) -> dict:
             for c in open_:
                 out[c] += left * weights[c] / total
             return out
-        share = {c: left * weights[c] / total for c in open_}
         for c in full:
             left -= room[c] - out[c]
             out[c] = room[c]
         open_ -= full
-        del share
     return out
 
 
@@ -149,9 +144,8 @@ def mix_report(used: DataFrame, plan: DataFrame) -> DataFrame:
     got = used.groupBy("source").agg(
         F.sum(F.col("n_tokens") * F.col("repeats")).alias("used_tokens"), F.count("*").alias("records"), F.max("repeats").alias("max_used"), F.sum("repeats").alias("uses")
     )
-    all_ = plan.agg(F.sum("budget").alias("total"))
-    rows = plan.join(got, "source", "left").crossJoin(F.broadcast(all_))  # one row beside the listed sources
-    whole = Window.partitionBy()
+    whole = Window.partitionBy()  # as many rows as mix_targets has
+    rows = plan.join(got, "source", "left").withColumn("total", F.sum("budget").over(whole))
     used_tokens = F.coalesce("used_tokens", F.lit(0))
     return rows.select(
         "source",
