@@ -33,6 +33,20 @@ def test_main_body(spark, monkeypatch, limit):
     assert not {"Home", "Share this with your Desk network", "See also", "Other notice bravo", "Terms"} & set(text)
 
 
+@pytest.mark.parametrize("limit", [common.BROADCAST_ROWS, 0])
+def test_main_body_teasers_of_a_title(spark, monkeypatch, limit):
+    """Neither teasers on 3 of 150 pages nor re-sent pages make a title the site's own; a legal notice of one site is none of another's body."""
+    monkeypatch.setattr(mainbody, "BROADCAST_ROWS", limit)
+    names = ["".join(p) for p in combinations("abcdefghijkl", 4)][:152]
+    page = lambda i, more: PAGE.format(n=f"{names[i]}", w=names[i]).replace("<p>See also</p>", f"<p>See also</p><p>{more}</p>")
+    rows = [(f"p{i}", "s", "html", page(i, f"Notice {names[0]} on ledgers" if i in (7, 70, 140) else ""), None, None, 1) for i in range(150)]
+    rows += [("r", "s", "html", page(150, f"Notice {names[1]} on ledgers"), None, None, 1)] * 8
+    rows.append(("o", "t", "html", page(151, "").replace("<ul>", "<p>Terms</p><ul>"), None, None, 1))
+    got = mainbody.main_body(spark.createDataFrame(rows, RAW)).where("id in ('p0', 'p1', 'o')").collect()
+    assert {(i, f"Notice {n} on ledgers") for i, n in (("p0", names[0]), ("p1", names[1]), ("o", names[151]))} <= {(r.id, r.block) for r in got}
+    assert not {"Terms", "See also", "Share this with your Desk network"} & {r.block for r in got}
+
+
 def test_main_body_empty(spark):
     assert mainbody.main_body(spark.createDataFrame([], RAW)).count() == 0
 
