@@ -3,7 +3,9 @@
 Q-gram lemma filter: a region that matches an item window of L characters within e edits
 shares at least L + 1 - q * (1 + e) q-grams with it on nearby diagonals.  Shared q-grams are
 counted in overlapping diagonal bands, bands that reach the bound are kept, and each kept
-region is verified by banded alignment over its words.
+region is verified by banded alignment over its words.  The alignment runs around the word
+offsets (word number in the document less that in the item) of the shared q-grams themselves,
+which all q-grams of an equal run have in common, whatever stands before it.
 
 Texts are compared as lower-case words (maximal runs of letters or digits) joined by spaces.
 The items are a stated query set: they are sent to every task in blocks of bounded size, and
@@ -27,6 +29,7 @@ from .hashing import Rolling
 Q = 12  # bytes of a q-gram
 WINDOW_WORDS = 12
 EDITS = 1  # edit budget of a window
+WIDTH = 8  # words to either side of an offset that are aligned
 BAND = 16  # width of a diagonal band in bytes; bands overlap by half
 BLOCK_BYTES = 4_000_000  # items sent to the tasks at a time
 SLOTS = 1 << 22  # bitmap in front of the q-gram index
@@ -43,7 +46,7 @@ class ItemIndex:
     def __init__(self, items: list[tuple[int, str]], q: int, window: int, edits: int):
         self.q = q
         self.ids, self.words, self.need = [], [], []
-        grams, owner, pos = [], [], []
+        grams, owner, pos, word = [], [], [], []
         for item_id, text in items:
             words = words_of(text)
             if not words:
@@ -60,17 +63,19 @@ class ItemIndex:
             grams.append(g)
             owner.append(np.full(len(g), no, np.int64))
             pos.append(np.arange(len(g), dtype=np.int64))
+            word.append((np.cumsum(codes == 32) - (codes == 32))[: len(g)].astype(np.int64))
         self.grams = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
         order = np.argsort(self.grams, kind="stable")
         self.grams = self.grams[order]
         self.owner = np.concatenate(owner)[order] if owner else np.zeros(0, np.int64)
         self.pos = np.concatenate(pos)[order] if pos else np.zeros(0, np.int64)
+        self.word = np.concatenate(word)[order] if word else np.zeros(0, np.int64)
         self.need = np.array(self.need, np.int64)
         self.slots = np.zeros(SLOTS, bool)
         self.slots[(self.grams & np.uint64(SLOTS - 1)).astype(np.int64)] = True
 
     def regions(self, codes: np.ndarray):
-        """(item no, first byte, last byte, diagonal) of the bands that reach their bound."""
+        """(item no, first byte, last byte, diagonal, word offsets) of the bands that reach their bound within one document; documents stand between zeros."""
         g = Rolling(codes).grams(self.q)
         at = np.flatnonzero(self.slots[(g & np.uint64(SLOTS - 1)).astype(np.int64)])
         if not len(at):
@@ -83,6 +88,9 @@ class ItemIndex:
         where = np.repeat(at, n)
         which = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
         item, diagonal = self.owner[which], where - self.pos[which]
+        starts, spaces = np.flatnonzero(codes == 0), np.flatnonzero(codes == 32)
+        doc = np.searchsorted(starts, where)
+        offset = np.searchsorted(spaces, where) - np.append(0, np.searchsorted(spaces, starts))[doc] - self.word[which]
         band = (diagonal + (1 << 40)) // (BAND // 2)
         for shift in (0, 1):  # each diagonal lies in two bands
             key = item * (1 << 42) + (band - shift)
@@ -90,11 +98,23 @@ class ItemIndex:
             ks, start = np.unique(key[order], return_index=True)
             size = np.diff(np.append(start, len(order)))
             for i in np.flatnonzero(size >= self.need[(ks >> 42).astype(np.int64)]):
-                hits = order[start[i] : start[i] + size[i]]
-                yield int(ks[i] >> 42), int(where[hits].min()), int(where[hits].max()) + self.q, int(np.median(diagonal[hits]))
+                no, together = int(ks[i] >> 42), order[start[i] : start[i] + size[i]]
+                for d in np.unique(doc[together]):  # a band can reach from one document into the next
+                    hits = together[doc[together] == d]
+                    if len(hits) >= self.need[no]:
+                        yield no, int(where[hits].min()), int(where[hits].max()) + self.q, int(np.median(diagonal[hits])), np.unique(offset[hits])
 
 
-def align(a: list[str], b: list[str], offset: int, width: int = 8) -> tuple[int, int]:
+def centres(offsets) -> list[int]:
+    """The fewest of the sorted offsets that have each of them within WIDTH."""
+    chosen: list[int] = []
+    for k, offset in enumerate(offsets):
+        if not chosen or offset > chosen[-1] + WIDTH:
+            chosen.append(max(int(x) for x in offsets[k:] if x <= offset + WIDTH))
+    return chosen
+
+
+def align(a: list[str], b: list[str], offset: int, width: int = WIDTH) -> tuple[int, int]:
     """Banded alignment of words: (longest run of equal words, matched words) around diagonal b - a = offset."""
     longest = matched = 0
     run: dict[int, int] = {}
@@ -146,7 +166,7 @@ def leaked_items(documents: DataFrame, items: DataFrame, window: int = WINDOW_WO
                 raw = ("\x00" + "\x00".join(joined) + "\x00").encode()
                 starts = np.flatnonzero(np.frombuffer(raw, np.uint8) == 0)
                 best: dict[tuple[int, int], tuple[int, int]] = {}
-                for item, first, last, diagonal in found.regions(np.frombuffer(raw, np.uint8)):
+                for item, first, last, diagonal, offsets in found.regions(np.frombuffer(raw, np.uint8)):
                     doc = int(np.searchsorted(starts, first, "right")) - 1
                     a, b = int(starts[doc]) + 1, int(starts[doc + 1])
                     own = found.words[item]
@@ -157,14 +177,8 @@ def leaked_items(documents: DataFrame, items: DataFrame, window: int = WINDOW_WO
                     while hi < b and raw[hi] != 32:
                         hi += 1
                     region = raw[lo:hi].decode().split(" ")
-                    before = raw[lo : max(lo, diagonal)].count(b" ") if diagonal > lo else 0
-                    if diagonal < lo:  # the item begins before the region
-                        skipped, k = 0, 0
-                        while k < len(own) and skipped < lo - diagonal:
-                            skipped += len(own[k].encode()) + 1
-                            k += 1
-                        before = -k
-                    got = align(own, region, before)
+                    skipped = raw[a:lo].count(b" ")
+                    got = max(align(own, region, offset - skipped) for offset in centres(offsets))
                     best[doc, item] = max(best.get((doc, item), (0, 0)), got)
                 docs = sorted(best)
                 ids = batch.column(0).take(pa.array([d for d, _ in docs], pa.int64()))

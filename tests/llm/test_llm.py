@@ -206,6 +206,18 @@ def test_leakage_equals_brute_force(spark):
     assert got == want and want
 
 
+def test_leakage_of_tails_equals_brute_force(spark):
+    """Only a later part of an item leaked, behind text with other word lengths; and documents that follow each other in a batch."""
+    rng = random.Random(4)
+    sized = lambda n, k: ["".join(rng.choice("abcdefghij") for _ in range(n)) for _ in range(k)]
+    items = [sized(n, 40) + [f"tail{i}x{k}" for k in range(20)] for i, n in enumerate((2, 14) * 4)]
+    docs = [(16 * i + m, " ".join([*sized(m, 90), *item[-12:], *sized(m, 5)])) for i, item in enumerate(items) for m in (1, 2, 3, 5, 9, 13)]
+    docs += [(900, " ".join(["so", *items[0][:30]])), (901, " ".join([*items[0][30:], "on"]))]
+    found = leakage.leaked_items(spark.createDataFrame(docs, "doc_id bigint, text string").coalesce(1), spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id bigint, text string"))
+    got = {(r.doc_id, r.item_id) for r in found.where("run_words >= 12").collect()}
+    assert got == {(16 * i + m, i) for i in range(8) for m in (1, 2, 3, 5, 9, 13)} | {(900, 0), (901, 0)}
+
+
 def test_mix(spark):
     docs = [(i, f"{WORDS[i % 6]} " * (5 + i % 7), "a" if i % 3 else "b", "en") for i in range(300)] + [(900, None, "a", None), (901, "x", "zz", "en")]
     df = spark.createDataFrame(docs, "doc_id bigint, text string, source string, lang string")
