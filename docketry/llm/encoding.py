@@ -35,7 +35,8 @@ LM_BUCKETS = 1 << 16  # fixed size of the bigram table, whatever the corpus
 MAX_ROUNDS = 4  # nested damage: how often a value may have been wrongly decoded
 EM_ROUNDS = 12
 MIN_GAIN = 1.0  # log-likelihood a restored run, and a value, must gain over the text as it stands
-COVER_SHARE = 0.005  # share of all damaged letters that only a code page must explain to be used
+COVER_SHARE = 0.005  # share of all damaged letters that only a code page must explain to be used in every source
+EVIDENCE = 20.0  # log-likelihood that only a code page must gain in a source to be used there
 UNREAD = 3.0  # log-likelihood a table loses for each damaged run of a value it cannot read
 COMMON = ("cp1252", "mac_roman", "cp437", "cp850")
 SWAP_GAIN = 8.0  # log-likelihood a value or line must gain by swapping single letters
@@ -224,24 +225,27 @@ def learn_swaps(groups, lm: Bigrams, rounds: int = EM_ROUNDS) -> dict[str, float
     return _em(ways, ("", *SWAPS), rounds)
 
 
-def choose_tables(groups, lm: Bigrams) -> list[str]:
-    """The fewest code pages that explain the damage of the whole corpus.
+def choose_tables(groups, lm: Bigrams, share: float = 0.0, evidence: float = EVIDENCE) -> list[str]:
+    """The fewest code pages that explain the damage in the groups of one source, or of all.
 
     Related code pages read most symbols alike, so EM over all of them would split the
-    evidence.  Tables are taken greedily, common ones first on a tie, while one explains
-    COVER_SHARE of the damaged letters that no table before it explains.
+    evidence.  Tables are taken greedily, common ones first on a tie, while one gains the evidence
+    on the damaged letters that no table before it explains, and these are more than a share
+    of all damaged letters.
     """
-    left = [({k for k, v in cand.items() if k and v - cand[""] > MIN_GAIN}, n) for cand, n in _ways(groups, lm, TABLES)]
+    left = [({k: v - cand[""] for k, v in cand.items() if k and v - cand[""] > MIN_GAIN}, n) for cand, n in _ways(groups, lm, TABLES)]
     left = [(ok, n) for ok, n in left if ok]
-    least = COVER_SHARE * sum(n for _, n in left)
+    least = share * sum(n for _, n in left)
     chosen: list[str] = []
     while left:
         mass: Counter = Counter()
+        gain: Counter = Counter()
         for ok, n in left:
-            for k in ok:
+            for k, v in ok.items():
                 mass[k] += n
-        best = max(TABLES, key=lambda k: mass[k])  # the first of equals
-        if mass[best] <= least:
+                gain[k] += n * v
+        best = max((k for k in TABLES if gain[k] >= evidence), key=lambda k: mass[k], default=None)  # the first of equals
+        if best is None or mass[best] <= least:
             break
         chosen.append(best)
         left = [(ok, n) for ok, n in left if best not in ok]
@@ -364,8 +368,10 @@ def encoding_model(texts: DataFrame, source_col: str, text_col: str):
             by_source[r.source][r.bucket].append((r.before, r.symbols, r.n))
             if r.bucket == -1:
                 pooled[r.before, r.symbols] += r.n
-    names = choose_tables([(*k, n) for k, n in pooled.items()], lm)
-    return lm, {s: learn_tables(g[-1], lm, names) | learn_swaps(g[-2], lm) for s, g in by_source.items()}
+    # a source's own tables, and those in use all over for runs it gives no evidence about
+    common = choose_tables([(*k, n) for k, n in pooled.items()], lm, COVER_SHARE, 0.0)
+    names = {s: list(dict.fromkeys(common + choose_tables(g[-1], lm))) for s, g in by_source.items()}
+    return lm, {s: learn_tables(g[-1], lm, names[s]) | learn_swaps(g[-2], lm) for s, g in by_source.items()}
 
 
 def repair_encoding(df: DataFrame, id_cols: list[str], source_col: str, text_col: str, model) -> DataFrame:

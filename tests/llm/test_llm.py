@@ -160,6 +160,17 @@ def test_encoding_round_trip(spark):
     assert got["l"].lost and got["l"].restored_md5 == "lost"
 
 
+def test_encoding_of_a_small_source(spark):
+    """A small source damaged by a code page of its own, beside a large one with much other damage."""
+    clean = [f"Die Behörde prüft § {i} für Übergänge – l’État répond à la clôture, coração e ação “{w}” 100 €" for i, w in enumerate(WORDS * 8)]
+    rows = [(f"b{i}", "big", _damage(clean[i % 48], "cp1252")) for i in range(900)] + [(f"c{i}", "big", t) for i, t in enumerate(clean * 4)]
+    rows += [(f"k{i}", "small", _damage(clean[i], "koi8_r")) for i in range(3)] + [(f"s{i}", "small", t) for i, t in enumerate(clean[3:9])]
+    df = spark.createDataFrame(rows, "id string, source_id string, text string")
+    got = {r.id: r.restored for r in encoding.repair_encoding(df, ["id"], "source_id", "text", encoding.encoding_model(df, "source_id", "text")).collect()}
+    assert set(got) == {f"b{i}" for i in range(900)} | {f"k{i}" for i in range(3)}
+    assert all(got[f"k{i}"] == clean[i] for i in range(3)) and all(got[f"b{i}"] == clean[i % 48] for i in range(900))
+
+
 def test_site_lines(spark):
     rows = [(f"d{i}", "s", f"Title {w}\n\nShare  THIS page {i}\nbody {w}", None, 1) for i, w in enumerate(WORDS)]
     rows += [rows[0], ("n", "s", None, None, 1), ("e", None, "", None, 1)]
