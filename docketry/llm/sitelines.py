@@ -2,11 +2,12 @@
 
 Equal documents of a source are collapsed first; each line is then counted over the distinct
 document clusters (with the ids they stand for) and over their publication days, so that an
-article published again and again adds one cluster and one day.  The text is read once: all
+article published again and again adds one cluster and one day.  Stripping judges lines by
+clusters and days, the line numbers that p5_found asks for by ids.  The text is read once: all
 counting runs on 64-bit keys of the normalised lines.
 
 Defined results: NULL or empty texts have no lines; re-sent rows (same id) count once; a NULL
-source is a source of its own; empty lines are never reported; extra columns are ignored.
+source is a source of its own; a cluster without a date is a day of its own; empty lines are never reported; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -64,18 +65,24 @@ def line_keys(parsed: DataFrame) -> DataFrame:
     return written(keyed, "line-keys").dropDuplicates(["source_id", "id"])
 
 
-def repeated_lines(keyed: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
-    """(source_id, key, n_docs, n_clusters, n_days): the lines repeated within their source."""
+def repeated_lines(keyed: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE, by_ids: bool = True) -> DataFrame:
+    """(source_id, key, n_docs, n_clusters, n_days): the lines repeated within their source.
+
+    by_ids: the limits hold for ids; else for clusters, which must lie on min_docs days too, or on
+    all days of a source that has fewer.
+    """
     clusters = keyed.groupBy("source_id", "text_hash").agg(F.count("*").alias("n_ids"), F.first("keys").alias("keys"), F.min("day").alias("day"))
+    days = (F.size(F.collect_set("day")) + F.count_if(F.col("day").isNull())).cast("int")
     lines = clusters.select("source_id", "n_ids", "day", F.explode(F.array_distinct("keys")).alias("key")).where("key <> 0")
-    counts = lines.groupBy("source_id", "key").agg(F.sum("n_ids").alias("n_docs"), F.count("*").alias("n_clusters"), F.size(F.collect_set("day")).alias("n_days"))
-    totals = keyed.groupBy("source_id").agg(F.count("*").alias("n_all"))
-    return (
-        counts.where(F.col("n_docs") >= min_docs)
-        .join(totals, "source_id")
-        .where(F.col("n_docs") >= min_share * F.col("n_all"))
-        .select("source_id", "key", "n_docs", "n_clusters", "n_days")
-    )
+    counts = lines.groupBy("source_id", "key").agg(F.sum("n_ids").alias("n_docs"), F.count("*").alias("n_clusters"), days.alias("n_days"))
+    if by_ids:
+        counted, totals = "n_docs", keyed.groupBy("source_id").agg(F.count("*").alias("n_all"))
+    else:
+        counted, totals = "n_clusters", clusters.where("text_hash <> 0").groupBy("source_id").agg(F.count("*").alias("n_all"), days.alias("all_days"))
+    found = counts.where(F.col(counted) >= min_docs).join(totals, "source_id").where(F.col(counted) >= min_share * F.col("n_all"))
+    if not by_ids:
+        found = found.where(F.col("n_days") >= F.least(F.lit(min_docs), "all_days"))
+    return found.select("source_id", "key", "n_docs", "n_clusters", "n_days")
 
 
 def repeated_line_numbers(parsed: DataFrame, **limits) -> DataFrame:
@@ -87,8 +94,8 @@ def repeated_line_numbers(parsed: DataFrame, **limits) -> DataFrame:
 
 
 def strip_repeated_lines(parsed: DataFrame, **limits) -> DataFrame:
-    """(id, stripped, n_removed): every document without the repeated lines of its source."""
-    gone = repeated_line_numbers(parsed, **limits).groupBy("id").agg(F.collect_set("line_no").alias("gone"))
+    """(id, stripped, n_removed): every document without the repeated lines of its source, counted over clusters and days."""
+    gone = repeated_line_numbers(parsed, by_ids=False, **limits).groupBy("id").agg(F.collect_set("line_no").alias("gone"))
     docs = parsed.select("id", "clean_text").dropDuplicates(["id"]).join(gone, "id", "left")
     lines = F.split("clean_text", "\n", -1)
     kept = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda s: ~F.array_contains("gone", s["i"]))

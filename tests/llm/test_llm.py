@@ -181,6 +181,20 @@ def test_site_lines(spark):
     assert text["d1"] == "Title bravo\n\nbody bravo" and text["n"] is None
 
 
+def test_site_lines_of_a_republished_article(spark):
+    """One article under 6 of 12 ids keeps its lines, as do lines of one day; the site's line goes, though it stands in few ids."""
+    names = ["".join(p) for p in combinations("abcdefg", 3)]
+    rows = [(f"a{i}", "s", "Article\nits only body", f"2026-01-0{1 + i}") for i in range(6)]
+    rows += [(f"d{i}", "s", f"Title {w}\nShare this page" + "\nSame day" * (i < 3), f"2026-02-0{1 + (0 if i < 3 else i)}") for i, w in enumerate(names[:6])]
+    rows += [(f"m{i}", "t", "Many copies", "2026-03-01") for i in range(60)] + [(f"e{i}", "t", f"Body {w}\nFollow us", f"2026-03-0{2 + i}") for i, w in enumerate(names[:4])]
+    df = spark.createDataFrame(rows, "id string, source_id string, clean_text string, day string").withColumn("published_at", F.to_timestamp("day"))
+    text = {r.id: r.stripped for r in sitelines.strip_repeated_lines(df).collect()}
+    assert text["a0"] == "Article\nits only body" and text["m0"] == "Many copies"
+    assert text["d0"] == f"Title {names[0]}\nSame day" and text["d5"] == f"Title {names[5]}" and text["e0"] == f"Body {names[0]}"
+    found = {r.id for r in sitelines.repeated_line_numbers(df).collect()}
+    assert "a0" in found and "m0" in found and "e0" not in found
+
+
 def test_splitting(spark):
     body = " ".join(f"Sentence {i} of the text ends here." for i in range(120))
     text = f"Head\nintro\nPART One\n{body}\nPart two\nshort"
