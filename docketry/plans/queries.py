@@ -125,7 +125,18 @@ def parse_dispatch(spark, sf):
     return out.groupBy("content_format").agg(F.count("*").alias("n"), F.count_if(F.col("text") == "").alias("n_errors"))
 
 
+def resolve_title_all(spark, sf):
+    """Title of every page that has text, whatever its format; the page's own title where none was delivered."""
+    raw = table(spark, sf, "raw_documents").select("id", "title", "content", "content_format", "jurisdiction").distinct()
+    markup = F.col("content_format").isin("html", "xml")
+    p = raw.withColumn("p", kernels.parse_html_udf(F.when(markup, F.col("content"))))
+    p = p.withColumn("text", F.when(markup, F.col("p.text")).when(F.col("content_format") != "pdf", tx.strip("content")))
+    title = F.coalesce(tx.nullif_empty("title"), F.when(markup, F.col("p.title")))
+    return p.where("text <> ''").select("id", tx.resolve_title(title, "text", "jurisdiction").alias("resolved_title")).distinct()
+
+
 def resolve_title(spark, sf):
+    """Text pages only, which its SQL can parse."""
     raw = table(spark, sf, "raw_documents").where("content_format = 'text'").select("id", "title", "content", "jurisdiction").distinct()
     return raw.select("id", tx.resolve_title("title", "content", "jurisdiction").alias("resolved_title")).distinct()
 

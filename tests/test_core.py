@@ -145,3 +145,15 @@ def test_registry(spark):
     row = {"id": "a", "name": "A", "jurisdiction": "RBI", "url": "u", "source_type": "html"}
     with pytest.raises(ValueError, match="duplicate"):
         registry.from_dicts(spark, [row, row | {"id": "A "}])
+
+
+def test_titles_of_all_formats(spark, tmp_path):
+    from docketry.plans import queries
+
+    page = "<html><head><title>Own</title></head><body><p>First</p></body></html>"
+    rows = [("h", None, page, "html"), ("g", "Given ", page, "html"), ("b", None, "<p>Line</p><p>two</p>", "html"), ("x", "", "<item><title>Feed</title>text</item>", "xml")]
+    rows += [("j", None, '\n {"a": 1}', "json"), ("t", "  ", "\nTop\nx", "text"), ("p", "Pdf", "", "pdf"), ("n", "None", None, "html"), ("h", None, page, "html")]
+    df = spark.createDataFrame([(*r, "RBI") for r in rows], "id string, title string, content string, content_format string, jurisdiction string")
+    df.write.parquet(f"{tmp_path}/raw_documents.parquet")
+    got = {r.id: r.resolved_title for r in queries.resolve_title_all(spark, str(tmp_path)).collect()}
+    assert got == {"h": "Own", "g": "Given", "b": "Line", "x": "Feed", "j": '{"a": 1}', "t": "Top"}
