@@ -9,30 +9,70 @@ import uuid
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 1_000_000  # largest table that may be sent to every task as a sorted array
+FILTER_BITS = 1 << 29  # largest bitmap that may be sent to every task: 64 MB
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset and everything runs in one process (tests)."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not spark.sparkContext.master.startswith(("local[", "local-cluster")) and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         configured = "file:///tmp/docketry-checkpoints"
         os.makedirs(configured[7:], exist_ok=True)
     return configured
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows of ``df`` as a table in the shared folder: read many times, computed once, safe from lost executors."""
+def written(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
+    """The rows of ``df`` as a table in the shared folder: read many times, computed once, safe from lost executors, gone with the session."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*partition_by).parquet(path) if partition_by else df.write.parquet(path)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(df: DataFrame, rows: int = 1000) -> None:
-    """Texts are long: keep Arrow batches small so that a batch fits a small Python worker."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def sliced(run, rows: int = 1000):
+    """``run`` over slices of the Arrow batches: texts are long, and what Python makes of a slice must fit a small worker."""
+
+    def parts(batches):
+        return run(batch.slice(at, rows) for batch in batches for at in range(0, batch.num_rows, rows))
+
+    return parts
+
+
+def bit_filter(keys: DataFrame, count: int) -> np.ndarray:
+    """A packed bitmap of the hashed bigint column ``key``: 32 bits for each of ``count`` keys, FILTER_BITS at most.
+
+    A key that is in is always found.  Beyond that size more other keys pass, which costs work in
+    the join behind the filter but no rows.  It is packed by ranges in the executors.
+    """
+    bits = min(max(1 << 20, 1 << (32 * max(count, 1) - 1).bit_length()), FILTER_BITS)
+    slots = keys.select(F.col("key").bitwiseAND(F.lit(bits - 1)).alias("slot")).distinct()
+    packed = slots.groupBy(F.shiftright("slot", 20).alias("range")).applyInPandas(_pack_bits, "range bigint, bits binary").collect()
+    out = np.zeros(bits >> 3, np.uint8)
+    for r in packed:
+        out[r["range"] << 17 : (r["range"] + 1) << 17] = np.frombuffer(r["bits"], np.uint8)[: len(out)]
+    return out
+
+
+def _pack_bits(slots):
+    import pandas as pd
+
+    slot = slots["slot"].to_numpy()
+    flags = np.zeros(1 << 20, np.uint8)
+    flags[slot & ((1 << 20) - 1)] = 1
+    return pd.DataFrame({"range": [int(slot[0]) >> 20], "bits": [np.packbits(flags, bitorder="little").tobytes()]})
+
+
+def may_contain(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which of the unsigned 64-bit keys may be in a ``bit_filter``."""
+    slot = keys & np.uint64(8 * len(bits) - 1)
+    return (bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
 def hash64(text: str) -> int:

@@ -262,9 +262,10 @@ def test_budgets_fill_siblings_first():
     assert got == {"a": 10.0, "b": 40.0, "c": 25.0, "d": 25.0}
 
 
-@pytest.mark.parametrize("limit", [common.BROADCAST_ROWS, 0])
-def test_truncation(spark, monkeypatch, limit):
-    monkeypatch.setattr(truncation, "BROADCAST_ROWS", limit)
+@pytest.mark.parametrize("bits", [common.FILTER_BITS, 64])
+def test_truncation(spark, monkeypatch, bits):
+    """A bitmap that everything passes changes no result."""
+    monkeypatch.setattr(common, "FILTER_BITS", bits)
     objects = "audit trail|recall plan|fee schedule|board minutes|risk register|model inventory".split("|")
     verbs = "publish|retain|amend|review|sample|archive".split("|")
     full = [f"Notice {i}\n\nThe clearing member shall {v} the {o} without undue delay. The depository may {v} the {p} only in a durable medium." for i, (v, o, p) in enumerate((v, o, p) for v in verbs for o in objects for p in objects)]
@@ -283,3 +284,23 @@ def test_rolling_hash():
     codes = language.np.frombuffer(b"abcabcab", language.np.uint8)
     g = Rolling(codes).grams(3)
     assert g[0] == g[3] and g[1] == g[4] and len(set(g.tolist())) == 3
+
+
+def test_truncation_thresholds():
+    """The thinnest place near the default is taken, the default where nothing is thinner."""
+    import numpy as np
+
+    counts = np.full(96, 5.0)
+    assert truncation.valley(counts, -2.0) == -2.0
+    counts[36:38] = 0  # around -2.75
+    assert truncation.valley(counts, -2.0) < -2.0
+
+
+def test_bit_filter(spark):
+    keys = spark.createDataFrame([(k * 0x9E3779B97F4A7C15 % (1 << 63),) for k in range(1, 500)], "key bigint")
+    import numpy as np
+
+    own = np.array([r.key for r in keys.collect()], np.int64).view(np.uint64)
+    bits = common.bit_filter(keys, 499)
+    assert common.may_contain(bits, own).all()
+    assert common.may_contain(bits, np.arange(10_000, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)).mean() < 0.05
