@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import sliced
+
 LM_BUCKETS = 1 << 16  # fixed size of the bigram table, whatever the corpus
 MAX_ROUNDS = 4  # nested damage: how often a value may have been wrongly decoded
 EM_ROUNDS = 12
@@ -355,7 +357,7 @@ def encoding_model(texts: DataFrame, source_col: str, text_col: str):
     stats = (
         texts.select(F.coalesce(F.col(source_col), F.lit("")).alias("s"), F.col(text_col).alias("t"))
         .where("t is not null and t rlike '[^\\\\x00-\\\\x7f]'")
-        .mapInArrow(_stats, "source string, before string, symbols string, bucket int, n bigint")
+        .mapInArrow(sliced(_stats), "source string, before string, symbols string, bucket int, n bigint")
         .groupBy("source", "before", "symbols", "bucket")
         .agg(F.sum("n").alias("n"))
     )
@@ -410,7 +412,7 @@ def repair_encoding(df: DataFrame, id_cols: list[str], source_col: str, text_col
             )
 
     slim = df.select(*id_cols, F.col(source_col).alias("__source"), F.col(text_col).alias("__text"))
-    return slim.where("__text rlike '[^\\\\x00-\\\\x7f]'").mapInArrow(apply, schema)
+    return slim.where("__text rlike '[^\\\\x00-\\\\x7f]'").mapInArrow(sliced(apply), schema)
 
 
 _READABLE: dict[str, bool] = {}

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import sliced
 from .encoding import undo_common_damage
 
 LANGUAGES = ("en", "fr", "de", "es", "it", "pt", "hi")
@@ -195,7 +195,6 @@ def train(labelled: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, direc
 
 def line_languages(parsed: DataFrame, model: PieceModel) -> DataFrame:
     """(id, line_no, n_words, lang, confidence, label, segment_no): one row per line that holds a letter."""
-    small_batches(parsed)
     pieces = list(model.number)
     shared = parsed.sparkSession.sparkContext.broadcast((pieces, model.probs))
     holder: dict = {}
@@ -249,7 +248,7 @@ def line_languages(parsed: DataFrame, model: PieceModel) -> DataFrame:
             )
 
     schema = "id string, line_no int, n_words int, lang string, confidence double, label string, segment_no int"
-    return parsed.select("id", label_of().alias("label"), "clean_text").mapInArrow(run, schema)
+    return parsed.select("id", label_of().alias("label"), "clean_text").mapInArrow(sliced(run), schema)
 
 
 def document_languages(lines: DataFrame) -> DataFrame:

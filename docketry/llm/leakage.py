@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import small_batches
+from .common import sliced
 from .hashing import Rolling
 
 Q = 12  # bytes of a q-gram
@@ -149,7 +149,6 @@ def _blocks(items: list[tuple[int, str]]):
 def leaked_items(documents: DataFrame, items: DataFrame, window: int = WINDOW_WORDS, q: int = Q, edits: int = EDITS) -> DataFrame:
     """(doc_id, item_id, run_words, matched_words, item_words): verified regions of each document."""
     spark = documents.sparkSession
-    small_batches(documents)
     stated = [(r.item_id, r.text) for r in items.select("item_id", "text").where("text is not null").toLocalIterator()]
     id_type = documents.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {id_type}, item_id {items.schema['item_id'].dataType.simpleString()}, run_words int, matched_words int, item_words int"
@@ -193,7 +192,7 @@ def leaked_items(documents: DataFrame, items: DataFrame, window: int = WINDOW_WO
                     names=["doc_id", "item_id", "run_words", "matched_words", "item_words"],
                 )
 
-        return slim.mapInArrow(run, schema)
+        return slim.mapInArrow(sliced(run), schema)
 
     out = None
     for block in _blocks(stated):

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, written
+from .common import sliced, written
 
 TOKENIZER_DIR = "/opt/tokenizers"
 RANKS = "byte_bpe_50k.tiktoken"
@@ -35,7 +35,6 @@ BUCKETS = 64  # parts of a source's seeded order
 
 def token_counts(documents: DataFrame, directory: str = TOKENIZER_DIR, name: str = RANKS) -> DataFrame:
     """(doc_id, source, lang, n_tokens): whole texts in tokens of the public tokenizer."""
-    small_batches(documents)
     holder: dict = {}
 
     def run(batches):
@@ -54,7 +53,7 @@ def token_counts(documents: DataFrame, directory: str = TOKENIZER_DIR, name: str
 
     id_type = documents.schema["doc_id"].dataType.simpleString()
     slim = documents.where("text is not null and text <> '' and doc_id is not null").select("doc_id", "source", F.coalesce("lang", F.lit("und")).alias("lang"), "text")
-    return slim.mapInArrow(run, f"doc_id {id_type}, source string, lang string, n_tokens bigint")
+    return slim.mapInArrow(sliced(run), f"doc_id {id_type}, source string, lang string, n_tokens bigint")
 
 
 def _fill(children: dict, weights: dict, room: dict, amount: float) -> dict:

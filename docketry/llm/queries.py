@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import encoding, increments, language, leakage, mainbody, mixing, sitelines, splitting, truncation
-from .common import small_batches
 
 SINCE = "2026-03-01"
 
@@ -56,7 +55,6 @@ def _records(spark, sf):
 
 def p4_found(spark, sf):
     records = _records(spark, sf)
-    small_batches(records)
     model = encoding.encoding_model(records, "source_id", "text")
     found = encoding.repair_encoding(records, ["record_kind", "id"], "source_id", "text", model)
     return found.select("record_kind", "id", "restored_md5").distinct()

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash64, small_batches, written
+from .common import hash64, sliced, written
 
 MIN_DOCS = 3
 MIN_SHARE = 0.1
@@ -59,9 +59,8 @@ def _keys(batches):
 
 def line_keys(parsed: DataFrame) -> DataFrame:
     """(id, source_id, day, text_hash, keys): one row per document, keys in line order, 0 for empty lines."""
-    small_batches(parsed)
     slim = parsed.select("id", F.coalesce("source_id", F.lit("")).alias("source_id"), F.to_date("published_at").alias("day"), "clean_text")
-    keyed = slim.mapInArrow(_keys, "id string, source_id string, day date, text_hash bigint, keys array<bigint>")
+    keyed = slim.mapInArrow(sliced(_keys), "id string, source_id string, day date, text_hash bigint, keys array<bigint>")
     return written(keyed, "line-keys").dropDuplicates(["source_id", "id"])
 
 

@@ -18,7 +18,7 @@ from bisect import bisect_left, bisect_right
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import small_batches
+from .common import sliced
 
 LIMIT = 1500
 OVERLAP = 150
@@ -105,7 +105,6 @@ def split_documents(parsed: DataFrame, limit: int = LIMIT, overlap: int = OVERLA
     ``section_no`` is the section in which the piece starts; a section that begins inside a
     piece is reported with the same piece number and its own length.
     """
-    small_batches(parsed)
 
     def run(batches):
         for batch in batches:
@@ -133,4 +132,4 @@ def split_documents(parsed: DataFrame, limit: int = LIMIT, overlap: int = OVERLA
             )
 
     schema = "id string, piece_no int, section_no int, section_chars int, start int, end int, piece string"
-    return parsed.where("length(clean_text) > %d" % limit).select("id", "clean_text", "sections").mapInArrow(run, schema)
+    return parsed.where("length(clean_text) > %d" % limit).select("id", "clean_text", "sections").mapInArrow(sliced(run), schema)
