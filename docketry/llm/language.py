@@ -10,8 +10,8 @@ bounded sample of labelled documents, ``docs_per_language`` each, whole texts; a
 fit the sample's lines are assigned by the model itself and fitted again, because labels may
 be wrong and documents mixed.  The vocabulary file is a parameter and is never trained.
 
-Defined results: NULL or empty text gives no lines; a line without letters takes the language
-of the line before it; a document's language is the one with most letters; an unknown or
+Defined results: NULL or empty text gives no lines, nor does a line without letters; a document
+without letters has no language (NULL) with confidence 0; a document's language is the one with most letters; an unknown or
 missing label differs from every language; re-sent rows give the same rows again.
 """
 
@@ -31,7 +31,7 @@ LANGUAGES = ("en", "fr", "de", "es", "it", "pt", "hi")
 TOKENIZER_DIR = "/opt/tokenizers"
 VOCABULARY = "piece_bpe_32k.model"
 DOCS_PER_LANGUAGE = 250
-TRAIN_WORDS = 6000  # most frequent words of each language's sample that are fitted
+LONG_WORD = 32  # letters beyond which a word's sums are made in logarithms; the result is the same
 EM_ROUNDS = 3
 MIN_WORDS = 8
 _SPACE = "▁"
@@ -54,6 +54,7 @@ class PieceModel:
         self.longest = max(map(len, pieces))
         self.probs = np.full((len(pieces), len(LANGUAGES)), 1.0 / len(pieces)) if probs is None else probs
         self.known: dict[str, np.ndarray] = {}
+        self._logs: np.ndarray | None = None
 
     def lattice(self, word: str) -> list[list[tuple[int, int]]]:
         """For each end: the (start, piece) edges that reach it; piece -1 is a letter outside the vocabulary."""
@@ -73,46 +74,84 @@ class PieceModel:
         """Log-probability of a word in each language, over all its segmentations."""
         got = self.known.get(word)
         if got is None:
-            edges = self.lattice(word[:64])
-            forward = np.zeros((len(edges), len(LANGUAGES)))
-            forward[0] = 1.0
-            for j in range(1, len(edges)):
-                for i, piece in edges[j]:
-                    forward[j] += forward[i] * (self.probs[piece] if piece >= 0 else _UNKNOWN)
-            got = np.log(np.maximum(forward[-1], 1e-280))
+            edges = self.lattice(word)
+            if len(word) > LONG_WORD:
+                got = Lattices([edges]).forward(self.log_probs())[len(edges) - 1]
+            else:
+                forward = np.zeros((len(edges), len(LANGUAGES)))
+                forward[0] = 1.0
+                for j in range(1, len(edges)):
+                    for i, piece in edges[j]:
+                        forward[j] += forward[i] * (self.probs[piece] if piece >= 0 else _UNKNOWN)
+                got = np.log(forward[-1])
             if len(self.known) > 300_000:
                 self.known.clear()
             self.known[word] = got
         return got
 
+    def log_probs(self) -> np.ndarray:
+        """Of the pieces; the last row is that of a letter outside the vocabulary, which edges call -1."""
+        if self._logs is None:
+            self._logs = np.log(np.vstack([self.probs, np.full((1, len(LANGUAGES)), _UNKNOWN)]))
+        return self._logs
+
     def fit(self, counts: list[Counter], rounds: int = EM_ROUNDS) -> PieceModel:
         """EM: expected piece counts from forward and backward sums of the words of each language."""
         weights: dict[str, np.ndarray] = {}
         for k, words in enumerate(counts):
-            for word, n in words.most_common(TRAIN_WORDS):
+            for word, n in words.items():
                 weights.setdefault(word, np.zeros(len(LANGUAGES)))[k] = n
-        lattices = {w: self.lattice(w[:64]) for w in weights}
-        probs = self.probs
+        if not weights:
+            return self
+        lattices = Lattices([self.lattice(w) for w in weights])
+        weight = np.array(list(weights.values()))
+        model = self
         for _ in range(rounds):
-            expected = np.zeros_like(probs)
-            for word, weight in weights.items():
-                edges = lattices[word]
-                n = len(edges)
-                forward, backward = np.zeros((n, len(LANGUAGES))), np.zeros((n, len(LANGUAGES)))
-                forward[0] = backward[-1] = 1.0
-                for j in range(1, n):
-                    for i, piece in edges[j]:
-                        forward[j] += forward[i] * (probs[piece] if piece >= 0 else _UNKNOWN)
-                scale = weight / np.maximum(forward[-1], 1e-280)
-                for j in range(n - 1, 0, -1):
-                    for i, piece in edges[j]:
-                        p = probs[piece] if piece >= 0 else _UNKNOWN
-                        if piece >= 0:
-                            expected[piece] += forward[i] * p * backward[j] * scale
-                        backward[i] += p * backward[j]
+            expected = lattices.expected(model.log_probs(), weight)[:-1]
             probs = expected / np.maximum(expected.sum(axis=0), 1e-12)
-            probs = np.maximum(probs, _FLOOR)
-        return PieceModel(list(self.number), probs)
+            model = PieceModel(list(self.number), np.maximum(probs, _FLOOR))
+        return model
+
+
+class Lattices:
+    """The lattices of many words as arrays of edges; sums run over all words at a time, in logarithms, however long a word is."""
+
+    def __init__(self, lattices: list[list[list[tuple[int, int]]]]):
+        sizes = np.array([len(x) for x in lattices])
+        self.first = np.cumsum(sizes) - sizes  # node of each word's start
+        self.last = self.first + sizes - 1
+        edges = [(base + i, base + j, j, len(x) - 1 - i, piece) for base, x in zip(self.first.tolist(), lattices) for j, into in enumerate(x) for i, piece in into]
+        self.start, self.end, self.depth, self.height, self.piece = np.array(edges, np.int64).T
+        self.nodes = int(sizes.sum())
+        self.word = np.repeat(np.arange(len(sizes)), sizes)
+
+    def _steps(self, level, node):
+        """Edges grouped by level, and within it by node: (edges, where each node's run begins)."""
+        order = np.lexsort((node, level))
+        for part in np.split(order, np.flatnonzero(np.diff(level[order])) + 1):
+            yield part, np.flatnonzero(np.concatenate(([True], np.diff(node[part]) != 0)))
+
+    def forward(self, logs: np.ndarray) -> np.ndarray:
+        out = np.full((self.nodes, logs.shape[1]), -np.inf)
+        out[self.first] = 0.0
+        for part, runs in self._steps(self.depth, self.end):
+            out[self.end[part[runs]]] = np.logaddexp.reduceat(out[self.start[part]] + logs[self.piece[part]], runs, axis=0)
+        return out
+
+    def backward(self, logs: np.ndarray) -> np.ndarray:
+        out = np.full((self.nodes, logs.shape[1]), -np.inf)
+        out[self.last] = 0.0
+        for part, runs in self._steps(self.height, self.start):
+            out[self.start[part[runs]]] = np.logaddexp.reduceat(out[self.end[part]] + logs[self.piece[part]], runs, axis=0)
+        return out
+
+    def expected(self, logs: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Expected number of uses of each piece, words counted by ``weight`` in each language."""
+        forward, backward = self.forward(logs), self.backward(logs)
+        word = self.word[self.start]
+        share = np.exp(forward[self.start] + logs[self.piece] + backward[self.end] - forward[self.last][word]) * weight[word]
+        piece = self.piece % len(logs)
+        return np.stack([np.bincount(piece, share[:, k], len(logs)) for k in range(logs.shape[1])], axis=1)
 
 
 _EDGES = "\"'“”‘’«»„().,;:!?।-–—[]"
@@ -251,11 +290,13 @@ def line_languages(parsed: DataFrame, model: PieceModel) -> DataFrame:
     return parsed.select("id", label_of().alias("label"), "clean_text").mapInArrow(sliced(run), schema)
 
 
-def document_languages(lines: DataFrame) -> DataFrame:
-    """(id, lang, confidence, label): the language most words of a document are in."""
-    per = lines.groupBy("id", "label", "lang").agg(F.sum("n_words").alias("n"), F.sum(F.col("n_words") * F.col("confidence")).alias("c"))
-    best = per.groupBy("id", "label").agg(F.max(F.struct("n", "lang", "c")).alias("best"), F.sum("n").alias("all"))
-    return best.select("id", F.col("best.lang").alias("lang"), F.round(F.col("best.c") / F.greatest(F.col("all"), F.lit(1)), 4).alias("confidence"), "label")
+def document_languages(lines: DataFrame, parsed: DataFrame) -> DataFrame:
+    """(id, lang, confidence, label): the language most words of a document are in, for every id of ``parsed``."""
+    per = lines.groupBy("id", "lang").agg(F.sum("n_words").alias("n"), F.sum(F.col("n_words") * F.col("confidence")).alias("c"))
+    best = per.groupBy("id").agg(F.max(F.struct("n", "lang", "c")).alias("best"), F.sum("n").alias("all"))
+    labels = parsed.groupBy("id").agg(F.max(label_of()).alias("label"))
+    sure = F.round(F.col("best.c") / F.greatest(F.col("all"), F.lit(1)), 4)
+    return labels.join(best, "id", "left").select("id", F.col("best.lang").alias("lang"), F.coalesce(sure, F.lit(0.0)).alias("confidence"), "label")
 
 
 def segments(lines: DataFrame) -> DataFrame:

@@ -39,7 +39,7 @@ def p3_found(spark, sf):
 
 def p3_document_languages(spark, sf):
     parsed = _t(spark, sf, "parsed_documents").dropDuplicates(["id"])
-    return language.document_languages(language.line_languages(parsed, language.train(parsed)))
+    return language.document_languages(language.line_languages(parsed, language.train(parsed)), parsed)
 
 
 def p3_segments(spark, sf):

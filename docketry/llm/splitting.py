@@ -38,15 +38,13 @@ def section_starts(text: str, headings) -> list[tuple[int, int]]:
     wanted = [(k, heading_form(h)) for k, h in enumerate(headings or (), 1) if h is not None]
     if not wanted:
         return starts
-    lines, at = [], 0
+    at = 0
     places: dict[str, list[int]] = {}
     offsets = []
     for no, line in enumerate(text.split("\n")):
         offsets.append(at)
         at += len(line) + 1
-        if len(line) <= 2000:
-            lines.append(line)
-            places.setdefault(heading_form(line), []).append(no)
+        places.setdefault(heading_form(line), []).append(no)
     last = -1
     for k, form in wanted:
         found = places.get(form, ()) if form else ()

@@ -128,7 +128,8 @@ def test_languages(spark):
     got = {(r.id, r.line_no): r for r in lines.collect()}
     assert {k: v.lang for k, v in got.items()} == {("m", 0): "en", ("m", 2): "de", ("m", 3): "hi", ("z", 0): "fr"}
     assert got["m", 2].segment_no == 1 and all(v.confidence > 0.5 for v in got.values())
-    assert {r.id: r.lang for r in language.document_languages(lines).collect()}["z"] == "fr"
+    of_all = {r.id: (r.lang, r.confidence > 0) for r in language.document_languages(lines, spark.createDataFrame(mixed, "id string, language string, clean_text string")).collect()}
+    assert of_all["z"] == ("fr", True) and of_all["x"] == of_all["n"] == (None, False) and len(of_all) == len(mixed)
     assert language.segments(lines).where("id = 'm'").count() == 3
 
 
@@ -140,6 +141,38 @@ def test_forward_sums_all_segmentations():
     assert abs(float(language.np.exp(model.score("abc")[0])) - want) < 1e-14
 
 
+def test_long_words_are_scored_whole():
+    model = language.PieceModel(["▁a", "a", "b", "ab"])
+    model.probs[:] = [[0.1] * 7, [0.2] * 7, [0.3] * 7, [0.05] * 7]
+    model.probs[1, 0] = 0.4
+    import numpy as np
+
+    for word in ("ab" * 15, "a" * 70 + "b", "ab" * 3000):
+        edges = model.lattice(word)
+        assert np.allclose(language.Lattices([edges]).forward(model.log_probs())[len(edges) - 1], model.score(word))
+    assert not np.allclose(model.score("a" * 64 + "a"), model.score("a" * 64 + "b"))
+    short = model.score("ab" * 10)
+    scored = language.PieceModel(["▁a", "a", "b", "ab"], model.probs)
+    language.LONG_WORD, old = 4, language.LONG_WORD
+    try:
+        assert np.allclose(scored.score("ab" * 10), short)
+    finally:
+        language.LONG_WORD = old
+
+
+def test_expected_counts_equal_enumeration():
+    """One EM step against all segmentations of a word."""
+    import numpy as np
+
+    model = language.PieceModel(["▁a", "a", "b", "ab"])
+    model.probs[:] = np.array([0.1, 0.2, 0.3, 0.4])[:, None]
+    ways = {("▁a", "b"): 0.1 * 0.3, ("▁", "a", "b"): language._UNKNOWN * 0.2 * 0.3, ("▁", "ab"): language._UNKNOWN * 0.4}
+    total = sum(ways.values())
+    want = [5 * sum(p for w, p in ways.items() if piece in w) / total for piece in ("▁a", "a", "b", "ab")]
+    got = language.Lattices([model.lattice("ab")]).expected(model.log_probs(), np.full((1, 7), 5.0))[:-1]
+    assert np.allclose(got[:, 0], want)
+
+
 def _damage(text, name):
     letters = {}
     for c, b in encoding.TABLES[name].items():
@@ -210,6 +243,11 @@ def test_splitting(spark):
     assert {r.id for r in rows} == {"a", "b"}
 
 
+def test_long_headings_open_sections():
+    heading = "Heading " * 300
+    assert [k for k, _ in splitting.section_starts(f"intro\n{heading}\nbody", [heading.strip()])] == [0, 1]
+
+
 def test_leakage_equals_brute_force(spark):
     rng = random.Random(9)
     words = [f"word{i}" for i in range(400)] + ["été", "नियम"]
