@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import encoding, increments, language, leakage, mainbody, mixing, sitelines, splitting, truncation
+from .common import new_folder
 
 SINCE = "2026-03-01"
 
@@ -24,11 +25,24 @@ def p1_main_text(spark, sf):
     return body.groupBy("id").agg(F.count("*").alias("n_blocks"), F.sum(F.length("block")).alias("n_chars"))
 
 
-def p2_found(spark, sf):
+def _checked_batches(spark, sf):
+    """The history goes into an index, the incoming days are checked against it and each other."""
     texts = _t(spark, sf, "parsed_documents").where("clean_text is not null").select(F.col("id").alias("doc_id"), "clean_text")
+    days = increments.first_days(_t(spark, sf, "document_fingerprints"))
     since = F.to_date(F.lit(SINCE))
-    members, links = increments.agreeing_classes(texts, increments.first_days(_t(spark, sf, "document_fingerprints")), since)
-    return increments.found_pairs(members, links, since)
+    index = increments.PivotIndex(spark, new_folder(spark, "pivot-index"))
+    index.start(texts, days.where(F.col("day") < since))
+    _, members, links = index.check(texts, days.where(F.col("day") >= since))
+    return members, links, since
+
+
+def p2_found(spark, sf):
+    return increments.found_pairs(*_checked_batches(spark, sf))
+
+
+def p2_classes(spark, sf):
+    """Per incoming document: its class of equal texts, how many classes agree with it, and the first of each."""
+    return increments.copy_classes(*_checked_batches(spark, sf))
 
 
 def p3_found(spark, sf):

@@ -69,16 +69,20 @@ def _texts():
     return out + [("x1", "one"), ("x2", ""), ("x3", None), ("x4", "one two"), ("x5", "one  two "), out[0]]
 
 
-@pytest.mark.parametrize("limit", [common.BROADCAST_ROWS, 0])
-def test_agreeing_classes_equal_brute_force(spark, monkeypatch, limit):
-    monkeypatch.setattr(increments, "BROADCAST_ROWS", limit)
+@pytest.mark.parametrize("bits, hot", [(common.FILTER_BITS, increments.HOT), (64, 3)])
+def test_pivot_index_equals_brute_force(spark, monkeypatch, tmp_path, bits, hot):
+    """Also with a bitmap that everything passes, and with anchors split by salt."""
+    monkeypatch.setattr(common, "FILTER_BITS", bits)
+    monkeypatch.setattr(increments, "HOT", hot)
     rows = _texts()
     texts = spark.createDataFrame(rows, "doc_id string, clean_text string")
     ids = sorted({i for i, _ in rows})
     days = spark.createDataFrame([(i, f"2026-0{2 + n % 3}-0{1 + n % 5}") for n, i in enumerate(ids)], "doc_id string, day string").withColumn("day", F.to_date("day"))
     day = {r.doc_id: str(r.day) for r in days.collect()}
     since = F.to_date(F.lit("2026-03-01"))
-    members, links = increments.agreeing_classes(texts, days, since)
+    index = increments.PivotIndex(spark, f"file://{tmp_path}/index")
+    index.start(texts, days.where(F.col("day") < since))
+    _, members, links = index.check(texts, days.where(F.col("day") >= since))
     got = {(r.doc_id_a, r.doc_id_b) for r in increments.found_pairs(members, links, since).collect()}
     sets = {i: _sets(t or "") for i, t in rows}
     want = {
@@ -89,18 +93,44 @@ def test_agreeing_classes_equal_brute_force(spark, monkeypatch, limit):
     assert got == want and want
 
 
-def test_pivot_index(spark, tmp_path):
-    rows = [(i, "2026-01-01", t) for i, t in dict(_texts()).items() if t]
-    make = lambda r: spark.createDataFrame(r, "doc_id string, day string, clean_text string")
+def test_batches_one_by_one_or_together(spark, tmp_path):
+    """Each batch is held against what was accepted before it; checking all at a time says the same."""
+    rows = [(i, t) for i, t in dict(_texts()).items() if t]
+    texts = spark.createDataFrame(rows, "doc_id string, clean_text string")
+    day = {i: "2026-01-01" if n < 50 else f"2026-03-0{1 + (n - 50) // 20}" for n, (i, _) in enumerate(rows)}
+    days = spark.createDataFrame(list(day.items()), "doc_id string, day string").withColumn("day", F.to_date("day"))
+    since = F.to_date(F.lit("2026-03-01"))
+    got = []
+    for steps in (["2026-03-01", "2026-03-02", "2026-03-03"], None):
+        index = increments.PivotIndex(spark, f"file://{tmp_path}/index{len(got)}")
+        index.start(texts, days.where(F.col("day") < since))
+        found, classes = set(), {}
+        for step in steps or [None]:
+            batch = days.where(F.col("day") == F.to_date(F.lit(step))) if step else days.where(F.col("day") >= since)
+            members, links = index.accept(texts, batch)
+            found |= {(r.doc_id_a, r.doc_id_b) for r in increments.found_pairs(members, links, since).collect()}
+            for r in increments.copy_classes(members, links, since).collect():
+                classes[r.doc_id] = r
+        got.append(found)
+    sets = {i: _sets(t) for i, t in rows}
+    near = lambda a, b: bool(sets[a] and sets[b]) and len(sets[a] & sets[b]) >= 0.7 * len(sets[a] | sets[b])
+    want = {(a, b) for a, b in combinations(sorted(day), 2) if day[a] != day[b] and max(day[a], day[b]) >= "2026-03-01" and near(a, b)}
+    assert got[0] == got[1] == want and want
+    for i, r in classes.items():
+        others = {frozenset(sets[j]) for j in day if near(i, j) and sets[j] != sets[i]}
+        assert r.n_linked == len(others) and r.n_equal == sum(sets[j] == sets[i] for j in day)
+        assert (r.first_near is None) == (not any(near(i, j) and sets[j] != sets[i] and day[j] < day[i] for j in day))
+    stored = spark.read.parquet(f"file://{tmp_path}/index1/table")
+    assert stored.count() == sum(bool(s) for s in sets.values()) and stored.where("band = 0").count() < stored.count()
+
+
+def test_pivot_index_empty(spark, tmp_path):
+    none = spark.createDataFrame([], "doc_id string, clean_text string")
+    days = spark.createDataFrame([], "doc_id string, day date")
     index = increments.PivotIndex(spark, f"file://{tmp_path}/index")
-    index.start(make(rows[:50]))
-    found = index.accept(make(rows[50:70])).collect()
-    sets = {i: _sets(t) for i, _, t in rows}
-    near = lambda new, old: {(a, b) for a in new for b in old if sets[a] and sets[b] and len(sets[a] & sets[b]) >= 0.7 * len(sets[a] | sets[b])}
-    name = lambda part: [i for i, _, _ in part]
-    assert {(r.doc_id, r.accepted_id) for r in found} == near(name(rows[50:70]), name(rows[:50]))
-    again = {(r.doc_id, r.accepted_id) for r in index.check(make(rows[70:])).collect()}
-    assert again == near(name(rows[70:]), name(rows[:70]))
+    index.start(none, days)
+    members, links = index.accept(none, days)
+    assert increments.found_pairs(members, links, F.to_date(F.lit("2026-03-01"))).count() == 0
 
 
 def test_triangle_bound():
