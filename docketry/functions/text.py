@@ -5,7 +5,7 @@ Regular expressions use Java's Unicode classes, ``(?U)``, because texts are mult
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules
@@ -28,6 +28,24 @@ def nullif_empty(text) -> Column:
     return F.nullif(_c(text), F.lit(""))
 
 
+def fixed(x, places: int) -> Column:
+    """A number of 0 or more with so many places, rounded by its exact binary value, to even on a tie.
+
+    The product with the power of ten is split into its rounded value and the rest, so that 0.2825,
+    which lies below its decimal, becomes 0.282.
+    """
+    ten = float(10**places)
+    v = _c(x).cast("double")
+    big = v * F.lit(134217729.0)
+    high = big - (big - v)
+    product = v * F.lit(ten)
+    rest = (high * F.lit(ten) - product) + (v - high) * F.lit(ten)
+    whole = F.floor(product)
+    over = ((product - whole) - F.lit(0.5)) + rest
+    digits = whole + F.when((over > 0) | ((over == 0) & (whole % 2 == 1)), 1).otherwise(0)
+    return F.when(v.isNotNull(), F.format_string(f"%d.%0{places}d", F.floor(digits / F.lit(ten)).cast("bigint"), (digits % F.lit(int(ten))).cast("bigint")))
+
+
 # --- normalisation ---------------------------------------------------------------------------
 
 
@@ -52,14 +70,28 @@ def normalize_whitespace(text) -> Column:
 # --- metadata --------------------------------------------------------------------------------
 
 
+_LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+
+
+def lines(text) -> Column:
+    return F.split(_c(text), _LINE_BREAK, -1)
+
+
 def first_line(text) -> Column:
-    return F.get(F.filter(F.transform(F.split(_c(text), "\n", -1), strip), lambda x: x != ""), F.lit(0))
+    return F.get(F.filter(F.transform(lines(text), strip), lambda x: x != ""), F.lit(0))
+
+
+def jurisdiction_label(code) -> Column:
+    """Name of a jurisdiction; a code without one stands for itself."""
+    out = _c(code)
+    for key, label in rules.JURISDICTIONS.items():
+        out = F.when(_c(code) == key, F.lit(label)).otherwise(out)
+    return out
 
 
 def resolve_title(title, text, jurisdiction) -> Column:
-    labels = F.create_map(*(F.lit(x) for kv in rules.JURISDICTIONS.items() for x in kv))
     own = nullif_empty(strip(F.coalesce(_c(title), F.lit(""))))
-    return F.left(F.coalesce(own, first_line(text), F.concat(F.get(F.array(labels[_c(jurisdiction)]), F.lit(0)), F.lit(" document"))), F.lit(512))
+    return F.left(F.coalesce(own, first_line(text), F.concat(jurisdiction_label(jurisdiction), F.lit(" document"))), F.lit(512))
 
 
 def reference_number(text) -> Column:
@@ -162,7 +194,7 @@ def language(text, words) -> Column:
     by_script = (letters > 0) & (top > 0) & (top >= 0.3 * letters)
 
     def among(stop):
-        return F.size(F.filter(w, lambda x: x.isin(*stop.split())))
+        return F.size(F.filter(w, lambda x: x.isin(*stop)))
 
     hits = [among(s) for s in rules.STOPWORDS.values()]
     best = F.greatest(*hits)
@@ -174,14 +206,33 @@ def language(text, words) -> Column:
     return F.when(by_script, F.struct(script.alias("language"), F.lit(0.9).alias("confidence"))).otherwise(F.struct(word.alias("language"), sure.alias("confidence")))
 
 
+# --- boilerplate -----------------------------------------------------------------------------
+
+_BOILERPLATE = "(?iuUs)" + "|".join(f"(?:{p})" for p in rules.BOILERPLATE)
+
+
+def strip_boilerplate(df: DataFrame, text: str, out: str = "stripped", removed: str = "removed") -> DataFrame:
+    """Adds the text without boilerplate lines and without short lines that stand three times or more in it, and the number of lines removed."""
+    cut = df.withColumn("__lines", F.split(text, "\n", -1)).withColumn("__sorted", F.array_sort("__lines"))
+    third = F.filter("__sorted", lambda x, i: (F.length(x).between(1, 80)) & (F.get(F.col("__sorted"), i - 2) == x))
+    # behind a generator, so that the repeated lines are found once and not again for every line
+    cut = cut.select("*", F.explode(F.array(F.coalesce(F.array_distinct(third), F.array().cast("array<string>")))).alias("__often"))
+    kept = F.filter("__lines", lambda x: ~F.array_contains("__often", x) & ~strip(x).rlike(_BOILERPLATE))
+    cut = cut.select("*", F.explode(F.array(F.coalesce(kept, F.array().cast("array<string>")))).alias("__kept"))
+    joined = F.regexp_replace(F.regexp_replace(F.array_join("__kept", "\n"), r"\n{3,}", "\n\n"), r"(?U)^\s+|\s+$", "")
+    n_removed = F.when(F.col(text).isNull(), 0).otherwise(F.size("__lines") - F.size("__kept"))
+    return cut.withColumns({out: F.when(F.col(text).isNotNull(), joined), removed: n_removed}).drop("__lines", "__sorted", "__often", "__kept")
+
+
 # --- summaries -------------------------------------------------------------------------------
 
 _PREFIXES = ("Title:", "Reference:", "Jurisdiction:")
 
 
 def prompt_text(title, reference, jurisdiction, text) -> Column:
-    lines = [F.concat(F.lit("Title: "), _c(title)), F.concat(F.lit("Reference: "), _c(reference)), F.concat(F.lit("Jurisdiction: "), _c(jurisdiction))]
-    return F.concat_ws("\n", *lines, F.lit(""), _c(text))
+    """Title, reference and jurisdiction, where there are any, an empty line and the text."""
+    told = (("Title: ", _c(title)), ("Reference: ", _c(reference)), ("Jurisdiction: ", jurisdiction_label(jurisdiction)))
+    return F.concat_ws("\n", *(F.concat(F.lit(name), nullif_empty(value)) for name, value in told), F.lit(""), _c(text))
 
 
 def _prefixed(line: Column) -> Column:
@@ -191,22 +242,40 @@ def _prefixed(line: Column) -> Column:
     return out
 
 
-def headline(text) -> Column:
-    lines = F.transform(F.split(_c(text), "\n", -1), strip)
-    good = F.filter(lines, lambda x: (x != "") & (F.length(x) <= 200) & ~_prefixed(x))
-    return F.coalesce(F.get(good, F.lit(0)), F.left(_c(text), F.lit(100)))
+def headline(prompt) -> Column:
+    good = F.filter(F.transform(lines(prompt), strip), lambda x: (x != "") & (F.length(x) <= 200) & ~_prefixed(x))
+    return F.coalesce(F.get(good, F.lit(0)), strip(F.left(_c(prompt), F.lit(100))))
+
+
+def body_of(prompt) -> Column:
+    """The prompt without its lines of title, reference and jurisdiction."""
+    return F.array_join(F.filter(lines(prompt), lambda x: ~_prefixed(x)), "\n")
 
 
-def sentences(text) -> Column:
-    body = F.array_join(F.filter(F.split(_c(text), "\n", -1), lambda x: ~_prefixed(x)), "\n")
-    return F.filter(F.transform(F.split(body, "[.!?]+"), strip), lambda x: x != "")
+def sentences(body) -> Column:
+    return F.filter(F.transform(F.split(_c(body), "[.!?]+"), strip), lambda x: x != "")
 
 
-def extractive_summary(text) -> Column:
-    s = sentences(text)
-    return F.left(F.when(F.size(s) > 0, F.concat(F.array_join(F.slice(s, 1, 3), ". "), F.lit("."))).otherwise(F.lit("")), F.lit(4000))
+def extractive_summary(body, found) -> Column:
+    """Of a prompt's body and the sentences found in it: the first three, else its first 200 characters."""
+    first = F.concat(F.array_join(F.slice(_c(found), 1, 3), ". "), F.lit("."))
+    return F.left(F.when(F.size(_c(found)) > 0, first).otherwise(F.left(_c(body), F.lit(200))), F.lit(4000))
 
 
-def topic_tags(text) -> Column:
-    words = F.split(F.lower(_c(text)), r"(?U)\s+")
+def topic_tags(body) -> Column:
+    words = F.split(F.lower(_c(body)), r"(?U)\s+")
     return F.slice(F.array_sort(F.array_distinct(F.filter(words, lambda w: (F.length(w) > 4) & w.rlike(r"^\p{L}+$")))), 1, 5)
+
+
+def summarize(df: DataFrame, title="title", reference="reference_number", jurisdiction="jurisdiction", text="clean_text") -> DataFrame:
+    """Adds headline, summary_text, key_changes, topic_tags and prompt_tokens."""
+    out = df.withColumn("__prompt", prompt_text(title, reference, jurisdiction, text)).withColumn("__body", body_of("__prompt")).withColumn("__found", sentences("__body"))
+    return out.withColumns(
+        {
+            "headline": headline("__prompt"),
+            "summary_text": extractive_summary("__body", "__found"),
+            "key_changes": F.slice("__found", 1, 3),
+            "topic_tags": topic_tags("__body"),
+            "prompt_tokens": word_count("__prompt"),
+        }
+    ).drop("__prompt", "__body", "__found")

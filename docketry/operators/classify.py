@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import rules
-from ..functions.text import _c, lit_array
+from ..functions.text import _c, fixed, jurisdiction_label, lit_array, nullif_empty
 
 
 def _hits(low: Column, words) -> Column:
@@ -112,7 +112,9 @@ def risk(df: DataFrame, text: str = "clean_text") -> DataFrame:
 
 
 def level_of(score: Column) -> Column:
-    return F.when(score < 0.25, "low").when(score < 0.5, "medium").when(score < 0.75, "high").otherwise("critical")
+    """A score outside [0, 1] is an error."""
+    score = F.when(score.isNull() | score.between(0, 1), score).otherwise(F.raise_error(F.lit("a risk score lies between 0 and 1")).cast("double"))
+    return F.when(score < 0.25, "low").when(score < 0.5, "medium").when(score < 0.75, "high").when(score >= 0.75, "critical")
 
 
 def severity(level: Column) -> Column:
@@ -120,19 +122,31 @@ def severity(level: Column) -> Column:
 
 
 def rationale(df: DataFrame) -> Column:
-    """Lines that explain a score."""
-
-    def listed(array, name, value):
-        return F.array_join(F.transform(F.slice(array, 1, 5), lambda x: F.concat(x[name], F.lit(" ("), F.format_string("%.2f", x[value]), F.lit(")"))), ", ")
-
+    """Lines that explain the score of a classified and scored document."""
+    line = lambda name, value, sign: F.concat(F.lit(f"{name}: "), F.coalesce(value, F.lit("unknown")), F.lit(" (weight: "), fixed(sign, 2), F.lit(")"))
+    names = lambda array, field: F.array_join(F.transform(F.slice(array, 1, 5), lambda x: x[field]), ", ")
     return F.concat_ws(
         "\n",
-        F.concat(F.lit("Risk level: "), F.upper("risk_level"), F.format_string(" (score %.3f)", F.col("score"))),
-        F.concat(F.lit("Urgency: "), F.col("urgency"), F.format_string(" (%.2f)", F.col("urgency_score"))),
-        F.when(F.col("doc_type").isNotNull(), F.concat(F.lit("Document type: "), F.col("doc_type"), F.format_string(" (%.2f)", F.col("doc_type_score")))),
-        F.when(F.size("functions") > 0, F.concat(F.lit("Functions: "), listed("functions", "name", "relevance"))),
-        F.when(F.size("topics") > 0, F.concat(F.lit("Topics: "), listed("topics", "topic", "confidence"))),
+        F.concat(F.lit("Risk level: "), F.upper("risk_level"), F.lit(" (score: "), fixed("score", 3), F.lit(")")),
+        F.lit(""),
+        line("Urgency signal", F.col("urgency"), F.col("urgency_score")),
+        line("Document type", F.col("doc_type"), F.col("doc_type_score")),
+        F.when(F.col("keyword_score") > 0, F.concat(F.lit("High-risk keywords detected (weight: "), fixed("keyword_score", 2), F.lit(")"))),
+        F.when(F.size("functions") > 0, F.concat(F.format_string("Impacted functions (%d): ", F.size("functions")), names("functions", "name"))),
+        F.when(F.col("penalty_score") > 0, F.concat(F.lit("Monetary penalty references detected (weight: "), fixed("penalty_score", 2), F.lit(")"))),
+        F.when(F.size("topics") > 0, F.concat(F.lit("Topics: "), names("topics", "topic"))),
+        F.concat(F.lit("Jurisdiction: "), jurisdiction_label("jurisdiction")),
+        F.concat(F.lit("Reference: "), nullif_empty("reference_number")),
+    )
+
+
+def rationale_with_context(base: Column, citations: Column) -> Column:
+    """A rationale followed by up to three related documents, an ARRAY<STRUCT<label, score, text>> in order."""
+    told = F.transform(
+        F.slice(citations, 1, 3),
+        lambda c, i: F.concat(F.format_string("[%d] ", i + 1), c["label"], F.lit(" (similarity: "), fixed(c["score"], 3), F.lit(")\n    "), F.left(c["text"], F.lit(200))),
     )
+    return F.when(F.size(citations) > 0, F.concat(base, F.lit("\n\n--- Related historical documents ---\n"), F.array_join(told, "\n"))).otherwise(base)
 
 
 def action_keys() -> Column:
@@ -167,7 +181,13 @@ def plan_actions(scored: DataFrame, as_of: Column, title: str = "title", referen
 
     def filled(template: str, size: int) -> Column:
         out = F.col(template)
-        parts = {"doc_type": F.lit("document"), "title": F.col(title), "reference": F.coalesce(reference, F.lit("N/A")), "jurisdiction": F.col("jurisdiction"), "risk_level": F.col("risk_level")}
+        parts = {
+            "doc_type": F.lit("document"),
+            "title": F.coalesce(nullif_empty(title), F.lit("Untitled")),
+            "reference": F.coalesce(nullif_empty(reference), F.lit("N/A")),
+            "jurisdiction": jurisdiction_label("jurisdiction"),
+            "risk_level": F.upper("risk_level"),
+        }
         for k, v in parts.items():
             out = F.replace(out, F.lit("{" + k + "}"), v)
         return F.left(out, F.lit(size))

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import kernels
+from ..functions.text import fixed
+from ..session import exists
+
 OVER_FETCH = 3
 QUERY_BLOCK = 4096  # query vectors sent to the tasks at a time
 
@@ -25,49 +29,65 @@ def cosine(a, b) -> Column:
     return F.when(size == 0, F.lit(0.0)).otherwise(dot(a, b) / size)
 
 
+RANK_DECIMALS = 9  # scores equal to so many places are ties, which the smaller id wins
+
+
+def _matrix(column: pa.Array, dim: int) -> np.ndarray:
+    """Unit vectors of a list column; a vector of zeros stays so."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    size = np.linalg.norm(flat, axis=1, keepdims=True)
+    return flat / np.where(size == 0, 1, size)
+
+
 def top_k(queries: DataFrame, items: DataFrame, k: int, decimals: int = 4, same: str | None = None) -> DataFrame:
     """(query_id, item_id, score, rank): the k most similar items of each query, by id on ties.
 
     The queries, (query_id, vector[, group]), are a stated set: they go to every task in blocks;
     each task keeps k items per query of its own rows, so what is shuffled is k rows per query
-    and task.  With ``same`` an item must have the query's value in column ``group``.
+    and task.  With ``same`` an item must have the query's value in column ``group``.  Scores are
+    ranked in full and rounded to ``decimals`` in the result.  Rows without id or vector are left out.
     """
     spark = items.sparkSession
     cols = ["query_id", "vector"] + (["group"] if same else [])
     asked = queries.select(*cols).where("query_id is not null and vector is not null").orderBy("query_id").toLocalIterator()
     item_cols = ["item_id", "vector"] + (["group"] if same else [])
     slim = items.select(*item_cols).where("item_id is not null and vector is not null")
+    q_type, i_type = queries.schema["query_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
+    schema = f"query_id {q_type}, item_id {i_type}, score double"
     out, block = None, []
 
     def search(rows):
         matrix = np.array([r["vector"] for r in rows], np.float64)
+        dim = matrix.shape[1]
         size = np.linalg.norm(matrix, axis=1, keepdims=True)
-        unit = matrix / np.where(size == 0, 1, size)
-        shared = spark.sparkContext.broadcast((np.array([r["query_id"] for r in rows], np.int64), unit, np.array([r["group"] for r in rows]) if same else None))
+        shared = spark.sparkContext.broadcast((np.array([r["query_id"] for r in rows]), matrix / np.where(size == 0, 1, size), np.array([r["group"] for r in rows]) if same else None))
 
         def run(batches):
             ids, q, groups = shared.value
             best_s = np.full((len(ids), 0), -np.inf)
             best_i = np.zeros((len(ids), 0), np.int64)
+            pool = None  # sorted ids of the items kept; best_i are places in it
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                own = batch.column(0).to_numpy()
-                m = np.array(batch.column(1).to_pylist(), np.float64)
-                size = np.linalg.norm(m, axis=1, keepdims=True)
-                scores = np.round(q @ (m / np.where(size == 0, 1, size)).T, decimals)
+                scores = np.round(q @ _matrix(batch.column(1), dim).T, RANK_DECIMALS)
                 if groups is not None:
                     scores = np.where(groups[:, None] == np.array(batch.column(2).to_pylist())[None, :], scores, -np.inf)
+                own = np.array(batch.column(0).to_pylist())
+                pool, place = np.unique(own if pool is None else np.concatenate([pool, own]), return_inverse=True)
                 s = np.concatenate([best_s, scores], axis=1)
-                i = np.concatenate([best_i, np.broadcast_to(own, scores.shape)], axis=1)
+                i = np.concatenate([place[best_i], np.broadcast_to(place[len(place) - len(own) :], scores.shape)], axis=1)
                 keep = np.lexsort((i, -s), axis=1)[:, :k]
                 best_s, best_i = np.take_along_axis(s, keep, 1), np.take_along_axis(i, keep, 1)
+                used, back = np.unique(best_i, return_inverse=True)
+                pool, best_i = pool[used], back.reshape(best_i.shape)
             flat = np.isfinite(best_s)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(ids, best_s.shape[1])[flat.ravel()]), pa.array(best_i[flat]), pa.array(best_s[flat])], names=["query_id", "item_id", "score"]
-            )
+            if pool is not None:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(ids, best_s.shape[1])[flat.ravel()].tolist()), pa.array(pool[best_i[flat]].tolist()), pa.array(best_s[flat])], names=["query_id", "item_id", "score"]
+                )
 
-        return slim.mapInArrow(run, "query_id bigint, item_id bigint, score double")
+        return slim.mapInArrow(run, schema)
 
     for row in asked:
         block.append(row)
@@ -76,9 +96,64 @@ def top_k(queries: DataFrame, items: DataFrame, k: int, decimals: int = 4, same:
     if block:
         out = search(block) if out is None else out.unionAll(search(block))
     if out is None:
-        out = spark.createDataFrame([], "query_id bigint, item_id bigint, score double")
+        out = spark.createDataFrame([], schema)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id")
-    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumn("score", F.round("score", decimals))
+
+
+def index_documents(parsed: DataFrame, dim: int = 256, hash_name: str = "blake2b", embed=None) -> DataFrame:
+    """(item_id, document_id, source_id, jurisdiction, chunk_index, title, reference_number, text, vector): the chunks of every document.
+
+    ``embed`` maps a text column to a vector column; the hashed bag of words is the default.
+    """
+    cut = parsed.where("clean_text is not null").select("id", "source_id", "jurisdiction", "title", "reference_number", F.explode(kernels.chunks_udf(F.col("clean_text"))).alias("c"))
+    rows = cut.select(
+        F.concat("id", F.lit(":"), F.col("c.index").cast("string")).alias("item_id"),
+        F.col("id").alias("document_id"),
+        "source_id",
+        "jurisdiction",
+        F.col("c.index").alias("chunk_index"),
+        "title",
+        "reference_number",
+        F.col("c.text").alias("text"),
+    )
+    make = embed or (lambda text: kernels.embed_udf(text, dim, hash_name))
+    return rows.withColumn("vector", make(F.col("text")))
+
+
+def upsert_index(spark: SparkSession, path: str, rows: DataFrame) -> None:
+    """Puts chunks into a stored index; a chunk id that is in it already is replaced.
+
+    The table is written to a new version beside the old one, which readers keep until they read anew.
+    """
+    new = rows.dropDuplicates(["item_id"])
+    version = 0
+    if exists(spark, f"{path}/version"):
+        version = spark.read.parquet(f"{path}/version").first()["version"]
+        old = spark.read.parquet(f"{path}/rows-{version}")
+        new = old.join(new.select("item_id"), "item_id", "left_anti").unionByName(new)
+    new.write.mode("overwrite").parquet(f"{path}/rows-{version + 1}")
+    spark.range(1).select(F.lit(version + 1).alias("version")).write.mode("overwrite").parquet(f"{path}/version")
+
+
+def load_index(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/rows-{spark.read.parquet(f'{path}/version').first()['version']}")
+
+
+def search(questions: DataFrame, index: DataFrame, k: int = 5, min_score: float = 0.0, same_jurisdiction: bool = False, source_id: str | None = None, dim: int = 256, hash_name: str = "blake2b", embed=None) -> DataFrame:
+    """(query_id, place, document_id, item_id, score, label, text): the best chunk of each of the k best documents.
+
+    ``questions`` has (query_id, text[, jurisdiction]).  Of the 3k best chunks of a question those
+    above the threshold count; so fewer than k documents may come out.
+    """
+    make = embed or (lambda text: kernels.embed_udf(text, dim, hash_name))
+    items = index if source_id is None else index.where(F.col("source_id") == source_id)
+    asked = questions.select("query_id", make(F.col("text")).alias("vector"), *([F.col("jurisdiction").alias("group")] if same_jurisdiction else []))
+    hits = top_k(asked, items.withColumn("group", F.col("jurisdiction")), OVER_FETCH * k, RANK_DECIMALS, "group" if same_jurisdiction else None)
+    told = items.select("item_id", "document_id", "title", "reference_number", "jurisdiction", "text")
+    rows = best_per_document(hits.join(told, "item_id"), "document_id", k, min_score)
+    label = citation_label(F.col("reference_number"), F.col("title"), F.col("document_id"), F.col("jurisdiction"))
+    return rows.select("query_id", "place", "document_id", "item_id", F.round("score", 4).alias("score"), label.alias("label"), "text")
 
 
 def best_per_document(hits: DataFrame, doc: str, k: int, min_score: float = 0.0) -> DataFrame:
@@ -96,6 +171,6 @@ def citation_label(reference, title, doc_id, jurisdiction) -> Column:
 
 def context_block(rows: DataFrame, by: str, place: str, label: str, score: str, text: str) -> DataFrame:
     """(by, context): numbered citations of each query, joined by rules; as many per query as were kept."""
-    entry = F.struct(F.col(place).alias("p"), F.concat(F.lit("["), F.col(place), F.lit("] "), F.col(label), F.format_string(" (score: %.3f)\n", F.col(score)), F.col(text)).alias("t"))
+    entry = F.struct(F.col(place).alias("p"), F.concat(F.lit("["), F.col(place), F.lit("] "), F.col(label), F.lit(" (score: "), fixed(score, 3), F.lit(")\n"), F.col(text)).alias("t"))
     listed = F.array_sort(F.collect_list(entry))
     return rows.groupBy(by).agg(F.array_join(F.transform(listed, lambda x: x["t"]), "\n\n---\n\n").alias("context"))

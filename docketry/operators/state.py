@@ -1,4 +1,4 @@
-"""Repository queries, stage markers, approvals and notifications over append-only tables."""
+"""Repository queries, stage markers, audit events and approvals over append-only tables."""
 
 from __future__ import annotations
 
@@ -10,7 +10,6 @@ from .classify import severity
 
 APPROVAL_LEVEL = "high"
 EXPIRY_HOURS = 72
-DIGEST_DOCS = 10
 
 
 def latest(df: DataFrame, key: str, version: str, *ties: str) -> DataFrame:
@@ -58,58 +57,71 @@ def requires_approval(level: Column, threshold: str = APPROVAL_LEVEL) -> Column:
     return severity(level) >= rules.SEVERITY[threshold]
 
 
-def approval_requests(scored: DataFrame, as_of: Column, threshold: str = APPROVAL_LEVEL) -> DataFrame:
-    """A request for each scored document: pending from the threshold on, else approved by "auto"."""
+def approval_requests(scored: DataFrame, as_of: Column, run_id: str = "", threshold: str = APPROVAL_LEVEL, auto: bool = True) -> DataFrame:
+    """A request for each scored document (with rationale and actions): pending from the threshold on, else approved by "auto".
+
+    Without ``auto`` documents below the threshold have no request.  Only pending requests carry a
+    payload and an end.
+    """
     waits = requires_approval(F.col("risk_level"), threshold)
-    return scored.select(
+    rows = scored if auto else scored.where(waits)
+    action = lambda a: F.struct(a["title"].alias("title"), a["priority"].alias("priority"), a["owner"].alias("owner"))
+    payload = F.struct(
+        "score", F.left("rationale", F.lit(2000)).alias("rationale"), "impacted_areas", F.transform(F.slice("actions", 1, 10), action).alias("actions")
+    )
+    return rows.select(
         F.sha2(F.concat_ws("|", F.lit("approval"), "id"), 256).alias("approval_id"),
         F.col("id").alias("document_id"),
+        F.sha2(F.concat_ws("|", F.lit("assessment"), "id"), 256).alias("assessment_id"),
+        F.lit(run_id).alias("run_id"),
         "risk_level",
         F.when(waits, "pending").otherwise("approved").alias("status"),
+        F.when(waits, F.col("title")).otherwise(F.coalesce("title", F.lit("Untitled"))).alias("title"),
+        F.when(waits, F.col("summary")).alias("summary"),
+        F.size("actions").alias("action_count"),
+        F.when(waits, payload).alias("payload"),
         F.when(~waits, "auto").alias("decided_by"),
+        F.when(~waits, as_of).alias("decided_at"),
+        F.when(~waits, "Auto-approved: risk below threshold").alias("decision_note"),
         as_of.alias("created_at"),
-        (as_of + F.expr(f"INTERVAL {EXPIRY_HOURS} HOURS")).alias("expires_at"),
+        F.when(waits, as_of + F.expr(f"INTERVAL {EXPIRY_HOURS} HOURS")).alias("expires_at"),
     )
 
 
-def decide(requests: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Requests with their latest decision of the log (approval_id, status, decided_by, decided_at)."""
-    last = latest(decisions, "approval_id", "decided_at", "status")
-    d = last.select("approval_id", F.col("status").alias("new_status"), F.col("decided_by").alias("new_by"), "decided_at")
-    out = requests.join(d, "approval_id", "left")
-    return out.withColumns({"status": F.coalesce("new_status", "status"), "decided_by": F.coalesce("new_by", "decided_by")}).drop("new_status", "new_by")
+def pending_approvals(requests: DataFrame, run_id: str | None = None) -> DataFrame:
+    """Open requests, the newest first."""
+    rows = requests.where("status = 'pending'")
+    return (rows if run_id is None else rows.where(F.col("run_id") == run_id)).orderBy(F.desc("created_at"), "approval_id")
 
 
-def expire(requests: DataFrame, now: Column) -> DataFrame:
-    return requests.withColumn("status", F.when((F.col("status") == "pending") & (now > F.col("expires_at")), "expired").otherwise(F.col("status")))
-
+def is_approved(requests: DataFrame) -> DataFrame:
+    """(document_id, approved): whether any request of a document is approved."""
+    return requests.groupBy("document_id").agg(F.bool_or(F.col("status") == "approved").alias("approved"))
 
-_EMOJI = {"low": "🟢", "medium": "🟡", "high": "🟠", "critical": "🔴"}
 
-
-def notification(scored: DataFrame, title: str = "title", summary: str = "summary") -> DataFrame:
-    """(id, risk_level, subject, body) of one message per document."""
-    emoji = F.when(F.lit(False), F.lit(""))
-    for level, sign in _EMOJI.items():
-        emoji = emoji.when(F.col("risk_level") == level, F.lit(sign))
-    subject = F.concat(emoji, F.lit(" ["), F.upper("risk_level"), F.lit("] "), F.left(title, F.lit(80)))
-    areas = F.array_join(F.slice("impacted_areas", 1, 5), ", ")
-    body = F.concat_ws("\n", F.left(F.coalesce(summary, F.lit("")), F.lit(500)), F.when(F.size("impacted_areas") > 0, F.concat(F.lit("Areas: "), areas)))
-    return scored.select("id", "risk_level", subject.alias("subject"), body.alias("body"))
+def audit_events(rows: DataFrame, event: str, entity_type: str, entity_id: Column, actor: str, payload: Column | None, at: Column) -> DataFrame:
+    """(event_type, entity_type, entity_id, actor, payload, created_at): one event per row, to be appended to the log."""
+    told = F.to_json(payload) if payload is not None else F.lit(None).cast("string")
+    return rows.select(
+        F.lit(event).alias("event_type"), F.lit(entity_type).alias("entity_type"), entity_id.alias("entity_id"), F.lit(actor).alias("actor"), told.alias("payload"), at.alias("created_at")
+    )
 
 
-def digest(scored: DataFrame, order: str, title: str = "title") -> DataFrame:
-    """(risk_level, n_documents, titles): per level all are counted and the first ten named."""
-    w = Window.partitionBy("risk_level").orderBy(order)
-    counts = scored.groupBy("risk_level").agg(F.count("*").alias("n_documents"))
-    first = scored.withColumn("n", F.row_number().over(w)).where(F.col("n") <= DIGEST_DOCS)  # a digest names ten at most
-    named = first.groupBy("risk_level").agg(F.array_sort(F.collect_list(F.struct("n", F.left(title, F.lit(50)).alias("t")))).alias("rows"))
-    return counts.join(named, "risk_level").select("risk_level", "n_documents", F.array_join(F.transform("rows", lambda r: r["t"]), " | ").alias("titles"))
+def decide(requests: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Requests with their latest decision of the log (approval_id, status, decided_by, decided_at); unknown ids change nothing."""
+    last = latest(decisions.select("approval_id", "status", "decided_by", "decided_at"), "approval_id", "decided_at", "status")
+    d = last.select("approval_id", F.col("status").alias("new_status"), F.col("decided_by").alias("new_by"), F.col("decided_at").alias("new_at"))
+    out = requests.join(d, "approval_id", "left")
+    put = {"status": F.coalesce("new_status", "status"), "decided_by": F.coalesce("new_by", "decided_by")}
+    if "decided_at" in requests.columns:
+        put["decided_at"] = F.coalesce("new_at", "decided_at")
+    else:
+        put["decided_at"] = F.col("new_at")
+    return out.withColumns(put).drop("new_status", "new_by", "new_at")
 
 
-def unsent(messages: DataFrame, sent: DataFrame) -> DataFrame:
-    """Messages not yet sent for their document at this level; each once."""
-    return missing_from(messages, sent.select(F.col("document_id").alias("id"), "risk_level"), "id", "risk_level").dropDuplicates(["id", "risk_level"])
+def expire(requests: DataFrame, now: Column) -> DataFrame:
+    return requests.withColumn("status", F.when((F.col("status") == "pending") & (now > F.col("expires_at")), "expired").otherwise(F.col("status")))
 
 
 def run_counters(outcomes: DataFrame) -> DataFrame:

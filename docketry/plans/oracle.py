@@ -90,9 +90,9 @@ _HASH = r"sha256(regexp_replace(regexp_replace(lower(clean_text), '[\s\x0B\x{85}
 _UNIT = "list_transform(embedding, lambda x: CAST(x AS DOUBLE))"
 _SIMS = f"""
 e AS (SELECT vec_id, label, {_UNIT} AS v FROM embeddings),
-sims AS (SELECT q.vec_id AS query_id, i.vec_id AS item_id, q.label AS ql, i.label AS il, round(list_cosine_similarity(q.v, i.v), 4) AS score FROM e q JOIN e i ON q.vec_id % 50 = 0)"""
+sims AS (SELECT q.vec_id AS query_id, i.vec_id AS item_id, q.label AS ql, i.label AS il, round(list_cosine_similarity(q.v, i.v), 9) AS sim FROM e q JOIN e i ON q.vec_id % 50 = 0)"""
 _RAG = f"""{_SIMS},
-h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM sims),
+h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, item_id) AS rank, round(sim, 4) AS score FROM sims),
 k AS (SELECT *, CAST(floor(item_id / 3) AS BIGINT) AS doc FROM h WHERE rank <= 15 AND score >= 0.1),
 b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, doc ORDER BY rank) AS n FROM k) WHERE n = 1),
 r AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank) AS INT) AS place FROM b) WHERE place <= 5)"""
@@ -101,8 +101,6 @@ _STAGES = ", ".join(f"({i}, '{s}')" for i, s in enumerate(rules.STAGES))
 ORACLE = {
     "flagship_risk_by_jurisdiction": f"WITH {SCORED} SELECT jurisdiction, risk_level, count(*) AS n_documents, round(avg(score), 4) AS avg_score, max(score) AS max_score FROM s GROUP BY 1, 2",
     "source_registry": "SELECT jurisdiction, count(*) AS n_sources, min(id) AS first_id, CAST(sum(crawl_frequency_minutes) AS BIGINT) AS minutes FROM regulatory_sources WHERE enabled GROUP BY 1",
-    "bundled_sources": "SELECT * FROM (VALUES ('RBI', 2), ('SEBI', 1), ('FDA', 2), ('EU_AI_ACT', 1)) t(jurisdiction, n_sources)",
-    "detect_format": "SELECT DISTINCT id, content_format AS detected FROM raw_documents",
     "feed_or_page": "SELECT DISTINCT r.id, coalesce(s.source_type = 'rss', false) OR coalesce(r.content_format = 'xml', false) AS is_feed FROM raw_documents r LEFT JOIN regulatory_sources s ON s.id = r.source_id",
     "adapter_match": "SELECT DISTINCT id, CASE jurisdiction "
     + " ".join(f"WHEN '{k}' THEN coalesce({' OR '.join(f'contains(lower(url), {_q(x)})' for x in p)}, false)" for k, (p, _) in rules.ADAPTERS.items())
@@ -124,14 +122,11 @@ ORACLE = {
     "risk_signals": f"WITH {SCORED} SELECT id, round(urgency_score, 6) AS urgency_score, round(doc_type_score, 6) AS doc_type_score, round(keyword_score, 6) AS keyword_score, round(scope_score, 6) AS scope_score, round(penalty_score, 6) AS penalty_score, score, risk_level, confidence FROM s",
     "action_items": f"WITH {SCORED}, {_ACTIONS} SELECT id, no, key, owner, priority, strftime(due_date, '%Y-%m-%d') AS due_date FROM planned",
     "actions_by_owner": f"WITH {SCORED}, {_ACTIONS} SELECT owner, priority, count(*) AS n FROM planned GROUP BY 1, 2",
-    "approval_requests": f"WITH {SCORED}, {_APPROVAL} SELECT approval_id, document_id, status, decided_by, '2026-06-04 00:00' AS expires FROM req",
-    "approval_latest": f"WITH {SCORED}, {_APPROVAL} SELECT risk_level, CASE WHEN status = 'approved' THEN 'approved' WHEN approval_id < '4' THEN 'approved' WHEN approval_id < '8' THEN 'rejected' ELSE 'expired' END AS status, count(*) AS n FROM req GROUP BY 1, 2",
-    "notify_digest": f"WITH {SCORED}, n AS (SELECT risk_level, id, title, row_number() OVER (PARTITION BY risk_level ORDER BY id) AS n FROM s) SELECT risk_level, count(*) AS n_documents, string_agg(left(title, 50), ' | ' ORDER BY n) FILTER (WHERE n <= 10) AS titles FROM n GROUP BY 1",
     "notify_unsent": f"WITH {SCORED} SELECT risk_level, count(*) AS n FROM s WHERE NOT substr(id, 1, 1) < '8' GROUP BY 1",
     "citation_labels": f"SELECT id, coalesce(nullif(reference_number, ''), nullif(left(title, 60), ''), 'doc:' || left(id, 8)) || ' [' || jurisdiction || ']' AS label FROM {P}",
-    "vector_topk": f"WITH {_SIMS} SELECT query_id, item_id, score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM sims) WHERE rank <= 10",
-    "vector_topk_filtered": f"WITH {_SIMS} SELECT query_id, item_id, score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM sims WHERE ql = il) WHERE rank <= 5",
-    "vector_topk_postfilter": f"WITH {_SIMS}, h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM sims), g AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank) AS INT) AS place FROM h WHERE rank <= 50 AND ql = il) SELECT query_id, item_id, score, place FROM g WHERE place <= 5",
+    "vector_topk": f"WITH {_SIMS} SELECT query_id, item_id, score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, item_id) AS rank, round(sim, 4) AS score FROM sims) WHERE rank <= 10",
+    "vector_topk_filtered": f"WITH {_SIMS} SELECT query_id, item_id, score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, item_id) AS rank, round(sim, 4) AS score FROM sims WHERE ql = il) WHERE rank <= 5",
+    "vector_topk_postfilter": f"WITH {_SIMS}, h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, item_id) AS rank, round(sim, 4) AS score FROM sims), g AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank) AS INT) AS place FROM h WHERE rank <= 50 AND ql = il) SELECT query_id, item_id, score, place FROM g WHERE place <= 5",
     "rag_search": f"WITH {_RAG} SELECT query_id, doc, item_id, score, place FROM r",
     "rag_summary": f"WITH {_RAG} SELECT query_id, max(score) AS top_score, count(*) AS n_results FROM r GROUP BY 1",
     "rag_context": f"WITH {_RAG} SELECT query_id, string_agg('[' || place || '] doc:' || doc || printf(' (score: %.3f)', score) || chr(10) || 'chunk ' || item_id, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY place) AS context FROM r GROUP BY 1",
@@ -144,7 +139,7 @@ ORACLE = {
     "documents_at_stage": f"SELECT run_id, stage, count(DISTINCT document_id) AS n_documents FROM {M} GROUP BY 1, 2",
     "skip_completed": "SELECT DISTINCT id AS document_id FROM raw_documents WHERE id NOT IN (SELECT document_id FROM pipeline_state WHERE stage = 'actions_planned' AND document_id IS NOT NULL)",
     "stage_markers": f"WITH st(n, stage) AS (VALUES {_STAGES}), l AS (SELECT document_id, max(n) AS n FROM pipeline_state JOIN st USING (stage) GROUP BY 1) SELECT st.stage, count(*) AS n FROM l JOIN st ON st.n <= l.n GROUP BY 1",
-    "run_counters": "WITH raw AS (SELECT DISTINCT id AS rid FROM raw_documents), p AS (SELECT raw_document_id AS rid, min(id) AS id FROM parsed_documents GROUP BY 1), fp AS (SELECT doc_id AS id, min(lower(trim(content_hash))) AS h FROM document_fingerprints GROUP BY 1), d AS (SELECT id FROM fp JOIN (SELECT h, min(id) AS keep FROM fp GROUP BY 1) USING (h) WHERE id <> keep) SELECT CAST(count(*) FILTER (WHERE p.id IS NOT NULL AND d.id IS NULL) AS BIGINT) AS processed, CAST(count(*) FILTER (WHERE d.id IS NOT NULL) AS BIGINT) AS duplicates, CAST(0 AS BIGINT) AS errors FROM raw LEFT JOIN p USING (rid) LEFT JOIN d ON d.id = p.id",
+    "stored_counters": "WITH raw AS (SELECT DISTINCT id AS rid FROM raw_documents), p AS (SELECT raw_document_id AS rid, min(id) AS id FROM parsed_documents GROUP BY 1), fp AS (SELECT doc_id AS id, min(lower(trim(content_hash))) AS h FROM document_fingerprints GROUP BY 1), d AS (SELECT id FROM fp JOIN (SELECT h, min(id) AS keep FROM fp GROUP BY 1) USING (h) WHERE id <> keep) SELECT CAST(count(*) FILTER (WHERE p.id IS NOT NULL AND d.id IS NULL) AS BIGINT) AS processed, CAST(count(*) FILTER (WHERE d.id IS NOT NULL) AS BIGINT) AS duplicates, CAST(0 AS BIGINT) AS errors FROM raw LEFT JOIN p USING (rid) LEFT JOIN d ON d.id = p.id",
     "punctuation_map": f"SELECT id, md5(regexp_replace(replace(translate(clean_text, {_q(rules.PUNCTUATION_FROM)}, {_q(rules.PUNCTUATION_TO)}), '…', '...'), '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]', '', 'g')) AS text_md5 FROM {P}",
     "nfc_normalize": f"SELECT id, md5(nfc_normalize(clean_text)) AS text_md5 FROM {P}",
     "stream_notifications": "SELECT DISTINCT entity_id, event_type FROM audit_log WHERE event_type IN ('risk.assessed', 'action.created') AND entity_id IS NOT NULL",
@@ -172,7 +167,7 @@ ORACLE["reference_number"] = (
     + ", ".join(f"nullif(regexp_extract(clean_text, {_q('(?i)' + p)}, {g}), '')" for p, g in rules.REFERENCES)
     + f"), '[.,;]+$', ''), 256) AS reference FROM {P}"
 )
-_WORDS = {k: "[" + ", ".join(_q(w) for w in v.split()) + "]" for k, v in rules.STOPWORDS.items()}
+_WORDS = {k: "[" + ", ".join(_q(w) for w in v) + "]" for k, v in rules.STOPWORDS.items()}
 _SCRIPT = {n: f"len(regexp_extract_all(t, '[\\x{{{a}}}-\\x{{{b}}}]')) - len(regexp_extract_all(t, '[\\x{{{a}}}-\\x{{{b}}}]')) + len(list_filter(regexp_extract_all(t, '\\p{{L}}'), lambda x: ord(x) BETWEEN {int(a, 16)} AND {int(b, 16)}))" for n, a, b in rules.SCRIPTS}
 ORACLE["language_detect"] = (
     "WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), "

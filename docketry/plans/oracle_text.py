@@ -12,7 +12,11 @@ def _strip(x: str) -> str:
     return f"regexp_replace({x}, '^{_WS}+|{_WS}+$', '', 'g')"
 
 
-_LABEL = "CASE jurisdiction " + " ".join(f"WHEN {_q(k)} THEN {_q(v)}" for k, v in rules.JURISDICTIONS.items()) + " END"
+LABEL = (
+    "CASE {0} WHEN 'RBI' THEN 'Reserve Bank of India' WHEN 'SEBI' THEN 'Securities and Exchange Board of India' "
+    "WHEN 'FDA' THEN 'U.S. Food and Drug Administration' WHEN 'EU_AI_ACT' THEN 'European Union AI Act' ELSE {0} END"
+)
+_LABEL = LABEL.format("jurisdiction")
 _MONTH = "CASE lower(x.mon) " + " ".join(f"WHEN '{form}' THEN {i}" for i, m in enumerate(rules.MONTHS, 1) for form in dict.fromkeys([m, m[:3], *(["sept"] if i == 9 else [])])) + " END"
 _EDGE_A, _EDGE_B = r"(^|[^\p{L}\p{N}_])", r"($|[^\p{L}\p{N}_])"
 
@@ -25,9 +29,6 @@ def _date(pattern: str, names: list[str], month: str = "x.m") -> str:
     )
 
 
-_PREFIX = " OR ".join(f"starts_with(x, '{p}')" for p in ("Title:", "Reference:", "Jurisdiction:"))
-_LINES = "string_split(t, chr(10))"
-
 TEXT = {
     "resolve_title": f"SELECT DISTINCT id, left(coalesce(nullif({_strip('title')}, ''), list_filter(list_transform(string_split(content, chr(10)), lambda x: {_strip('x')}), lambda x: x <> '')[1], {_LABEL} || ' document'), 512) AS resolved_title FROM raw_documents WHERE content_format = 'text'",
     "published_date": "SELECT id, coalesce("
@@ -44,19 +45,11 @@ TEXT = {
         "SELECT id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(translate(regexp_replace(clean_text, '\\r\\n?', chr(10), 'g'), "
         f"{_q(rules.SPACES + rules.ZERO_WIDTH)}, {_q(' ' * len(rules.SPACES))}), '[ \\t\\f\\x0b]+', ' ', 'g'), '(?m)^ +| +$', '', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^[\\s\\x0b]+|[\\s\\x0b]+$', '', 'g')) AS text_md5 FROM {P}"
     ).replace("{{", "{").replace("}}", "}"),
-    "summaries": f"""WITH s AS (SELECT id, concat_ws(chr(10), 'Title: ' || title, 'Reference: ' || reference_number, 'Jurisdiction: ' || jurisdiction, '', clean_text) AS t FROM {P} WHERE clean_text IS NOT NULL),
-b AS (SELECT id, t, list_filter(list_transform(regexp_split_to_array(array_to_string(list_filter({_LINES}, lambda x: NOT ({_PREFIX})), chr(10)), '[.!?]+'), lambda x: {_strip('x')}), lambda x: x <> '') AS sents FROM s)
-SELECT id, coalesce(list_filter(list_transform({_LINES}, lambda x: {_strip('x')}), lambda x: x <> '' AND length(x) <= 200 AND NOT ({_PREFIX}))[1], left(t, 100)) AS headline,
- md5(left(CASE WHEN len(sents) > 0 THEN array_to_string(sents[1:3], '. ') || '.' ELSE '' END, 4000)) AS summary_md5,
- array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array(lower(t), '{_WS}+'), lambda x: length(x) > 4 AND regexp_full_match(x, '\\p{{L}}+'))))[1:5], ',') AS tags,
- CAST(len(list_filter(regexp_split_to_array(t, '{_WS}+'), lambda x: x <> '')) AS INT) AS prompt_tokens FROM b""",
     "action_texts": f"""WITH {SCORED}, {_ACTIONS}, txt(key, tt, dd) AS (VALUES {', '.join(f'({_q(k)}, {_q(t)}, {_q(d)})' for k, _, _, t, d in rules.ACTIONS)})
 SELECT p.id, p.no, left({{T}}, 256) AS title, md5(left({{D}}, 8192)) AS description_md5 FROM planned p JOIN txt USING (key) JOIN s ON s.id = p.id""",
-    "notify_single": f"""WITH {SCORED} SELECT id, CASE risk_level WHEN 'low' THEN '🟢' WHEN 'medium' THEN '🟡' WHEN 'high' THEN '🟠' ELSE '🔴' END || ' [' || upper(risk_level) || '] ' || left(title, 80) AS subject,
- md5(concat_ws(chr(10), left(coalesce(summary, ''), 500), CASE WHEN len(areas) > 0 THEN 'Areas: ' || array_to_string(areas[1:5], ', ') END)) AS body_md5 FROM s""",
 }
 for _name, _column in (("{T}", "tt"), ("{D}", "dd")):
     _filled = _column
-    for _key, _value in (("doc_type", "'document'"), ("title", "s.title"), ("reference", "coalesce(s.reference_number, 'N/A')"), ("jurisdiction", "s.jurisdiction"), ("risk_level", "s.risk_level")):
+    for _key, _value in (("doc_type", "'document'"), ("title", "coalesce(nullif(s.title, ''), 'Untitled')"), ("reference", "coalesce(nullif(s.reference_number, ''), 'N/A')"), ("jurisdiction", LABEL.format('s.jurisdiction')), ("risk_level", "upper(s.risk_level)")):
         _filled = f"replace({_filled}, '{{{_key}}}', {_value})"
     TEXT["action_texts"] = TEXT["action_texts"].replace(_name, _filled)

@@ -7,11 +7,12 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .. import rules
+from .. import pipeline, rules
 from ..functions import kernels
 from ..functions import text as tx
 from ..operators import classify as cl
-from ..operators import dedup, retrieval, state
+from ..operators import dedup, notify, retrieval, state
+from ..session import written
 from ..sources import registry
 
 AS_OF = "2026-06-01 00:00:00"
@@ -56,14 +57,30 @@ def source_registry(spark, sf):
 
 
 def bundled_sources(spark, sf):
-    return registry.bundled(spark).groupBy("jurisdiction").agg(F.count("*").alias("n_sources"))
+    return registry.bundled(spark).select("id", "name", "jurisdiction", "url", "source_type", "description", "enabled", "crawl_frequency_minutes", F.array_join("tags", ",").alias("tags"))
+
+
+def source_jurisdictions(spark, sf):
+    return registry.jurisdictions(registry.enabled(table(spark, sf, "regulatory_sources")))
+
+
+def source_adapters(spark, sf):
+    """Which sources have an adapter, and what it asks of links."""
+    own = registry.for_sources(table(spark, sf, "regulatory_sources"), registry.register(registry.adapters(spark), "RBI", ["/new/"], False, replace=True))
+    return own.select("id", "has_adapter", "same_host", F.array_join("patterns", ",").alias("patterns"))
+
+
+MIME_CASES = (
+    ("text/html; charset=utf-8", ""), ("Application/XHTML+XML", ""), ("application/pdf", ""), ("application/json;v=1", ""), ("text/xml", ""),
+    ("application/rss+xml", ""), ("image/svg+xml", ""), ("application/octet-stream", "%PDF-1.7"), ("text/plain", "%PDF"), ("", "%PDF-1.4"), (None, "<html>"),
+)
 
 
 def detect_format(spark, sf):
-    raw = table(spark, sf, "raw_documents")
-    mime = F.when(F.col("content_format") == "html", "Text/HTML; charset=utf-8").when(F.col("content_format") == "xml", "application/rss+xml").when(F.col("content_format") == "json", "application/json")
-    body = F.when(F.col("content_format") == "pdf", "%PDF-1.7").otherwise(F.col("content"))
-    return raw.select("id", registry.detect_format(mime, body).alias("detected")).distinct()
+    """Pages without a MIME type, by what they begin with; and spellings of MIME types."""
+    raw = table(spark, sf, "raw_documents").select(F.col("id").alias("mime"), registry.detect_format(F.lit(None).cast("string"), F.col("content")).alias("detected")).distinct()
+    cases = spark.createDataFrame(list(MIME_CASES), "mime string, body string")
+    return raw.unionByName(cases.select(F.coalesce("mime", F.lit("none")).alias("mime"), registry.detect_format(F.col("mime"), F.col("body")).alias("detected")))
 
 
 def feed_or_page(spark, sf):
@@ -78,11 +95,29 @@ def adapter_match(spark, sf):
     return own.select("id", F.coalesce(registry.matches_adapter(F.col("url"), F.col("patterns")), F.lit(False)).alias("matches"), "same_host")
 
 
+def _pages(spark, sf):
+    return table(spark, sf, "raw_documents").where("content_format = 'html'").select("id", "url", "jurisdiction", "content").dropDuplicates(["id"])
+
+
+def anchors(spark, sf):
+    """Every link of a page, in order."""
+    page = _pages(spark, sf).select("id", kernels.parse_html_udf(F.col("content"))["hrefs"].alias("hrefs"))
+    return page.select("id", F.posexplode("hrefs").alias("place", "href"))
+
+
 def anchors_normalized(spark, sf):
-    pages = table(spark, sf, "raw_documents").where("content_format = 'html'").select("id", "url", "content").dropDuplicates(["id"])
-    page = pages.withColumn("page", kernels.parse_html_udf(F.col("content")))
-    links = kernels.links_udf(F.col("url"), F.col("page.hrefs"), F.array().cast("array<string>"), F.lit(True))
-    return page.select("id", F.size("page.hrefs").alias("n_anchors"), F.size(links).alias("n_links"))
+    """Links worth following by the adapter of the page's jurisdiction."""
+    page = _pages(spark, sf).join(F.broadcast(registry.adapters(spark)), "jurisdiction")  # four rows
+    page = page.withColumn("hrefs", kernels.parse_html_udf(F.col("content"))["hrefs"])
+    links = kernels.links_udf(F.col("url"), F.col("hrefs"), F.col("patterns"), F.col("same_host"))
+    return page.select("id", F.posexplode(links).alias("place", "link"))
+
+
+def links_on_host(spark, sf):
+    """The same without patterns."""
+    page = _pages(spark, sf).withColumn("hrefs", kernels.parse_html_udf(F.col("content"))["hrefs"])
+    links = kernels.links_udf(F.col("url"), F.col("hrefs"), F.array().cast("array<string>"), F.lit(True))
+    return page.select("id", F.size("hrefs").alias("n_anchors"), F.size(links).alias("n_links"))
 
 
 def feed_links(spark, sf):
@@ -116,13 +151,15 @@ def parse_html_pages(spark, sf):
     return p.select("id", F.md5("p.text").alias("text_md5"), F.col("p.title").alias("title"), F.size(F.slice("p.headings", 1, 50)).alias("n_headings"))
 
 
+def html_titles(spark, sf):
+    p = _pages(spark, sf).select("id", kernels.parse_html_udf(F.col("content")).alias("p"))
+    return p.select("id", F.col("p.title").alias("title"), F.array_join("p.headings", " | ").alias("headings"))
+
+
 def parse_dispatch(spark, sf):
-    """Text of every format; pages without text carry an error instead of failing."""
-    raw = table(spark, sf, "raw_documents").select("id", "content_format", "content").dropDuplicates(["id"])
-    html = kernels.parse_html_udf(F.when(F.col("content_format") == "html", F.col("content")))["text"]
-    body = F.when(F.col("content_format") == "pdf", F.lit("")).when(F.col("content_format") == "html", html).otherwise(tx.strip("content"))
-    out = raw.withColumn("text", F.coalesce(body, F.lit("")))
-    return out.groupBy("content_format").agg(F.count("*").alias("n"), F.count_if(F.col("text") == "").alias("n_errors"))
+    """Pages of every format; those without text carry an error instead of failing."""
+    raw = table(spark, sf, "raw_documents").select("id", "title", "jurisdiction", "content_format", "content").dropDuplicates(["id"])
+    return pipeline.parse(raw).select("id", "content_format", "error")
 
 
 def resolve_title_all(spark, sf):
@@ -170,17 +207,13 @@ def mojibake_simple(spark, sf):
 
 
 def boilerplate_strip(spark, sf):
-    p = parsed(spark, sf).select("id", kernels.clean_lines_udf(tx.normalize_whitespace("clean_text")).alias("c"))
-    return p.select("id", F.col("c.removed").alias("removed"), F.length("c.text").alias("n_chars"))
+    p = parsed(spark, sf).select("id", tx.normalize_whitespace("clean_text").alias("t"))
+    return tx.strip_boilerplate(p, "t").select("id", "removed", F.md5("stripped").alias("text_md5"))
 
 
 def clean_documents(spark, sf):
-    p = parsed(spark, sf).select("id", "clean_text")
-    t = kernels.nfc_udf(kernels.fix_mojibake_udf(F.col("clean_text")))
-    t = tx.normalize_whitespace(tx.strip_controls(tx.map_punctuation(t)))
-    c = p.withColumn("c", kernels.clean_lines_udf(t)).withColumn("text", F.coalesce(tx.nullif_empty("c.text"), F.col("clean_text")))
-    c = c.withColumn("w", tx.stop_word_tokens("text"))
-    return c.select("id", F.length("clean_text").alias("original_chars"), F.length("text").alias("cleaned_chars"), F.col("c.removed").alias("removed"), tx.language("text", "w")["language"].alias("language"))
+    c = pipeline.clean(parsed(spark, sf).select("id", F.col("clean_text").alias("text")))
+    return c.select("id", "original_chars", "cleaned_chars", "removed", "language")
 
 
 def language_detect(spark, sf):
@@ -249,6 +282,18 @@ def dedup_greedy(spark, sf):
     return dedup.greedy_dedup(_fingerprints(spark, sf)).select("doc_id", "kind", "matched", F.round("similarity", 6).alias("similarity"))
 
 
+def dedup_known(spark, sf):
+    """Documents since March against the fingerprints stored before."""
+    fp = _fingerprints(spark, sf)
+    old = F.col("ord.created_at") < F.lit("2026-03-01").cast("timestamp")
+    found = dedup.greedy_dedup(fp.where(~old), known=fp.where(old))
+    return found.select("doc_id", "kind", "matched", F.round("similarity", 6).alias("similarity"))
+
+
+def first_holders(spark, sf):
+    return dedup.first_holders(_fingerprints(spark, sf))
+
+
 def fingerprint_lookup(spark, sf):
     fp = table(spark, sf, "document_fingerprints").select(F.lower(F.trim("content_hash")).alias("hash"), "doc_id")
     own = parsed(spark, sf).select("id", tx.content_hash("clean_text").alias("hash"))
@@ -286,7 +331,31 @@ def risk_signals(spark, sf):
 
 def risk_rationale(spark, sf):
     s = scored(spark, sf)
-    return s.select("id", F.md5(cl.rationale(s)).alias("rationale_md5"), F.array_join("impacted_areas", ",").alias("areas"))
+    return s.select("id", cl.rationale(s).alias("rationale"), F.array_join("impacted_areas", ",").alias("areas"))
+
+
+def _asked(df, column):
+    """The stated query set: ids whose hash is divisible by 50."""
+    return df.where(F.conv(F.substring(F.md5(column), 1, 8), 16, 10).cast("bigint") % 50 == 0)
+
+
+def document_index(spark, sf):
+    index = retrieval.index_documents(parsed(spark, sf), hash_name="md5")
+    return index.select("item_id", "document_id", "jurisdiction", "chunk_index", "title", "reference_number", F.md5("text").alias("text_md5"))
+
+
+def document_search(spark, sf):
+    """Titles as questions, against the chunks of all documents of the same jurisdiction."""
+    p = parsed(spark, sf)
+    asked = _asked(p, "id").where("title is not null").select(F.col("id").alias("query_id"), F.col("title").alias("text"), "jurisdiction")
+    found = retrieval.search(asked, retrieval.index_documents(p, hash_name="md5"), 5, 0.1, True, hash_name="md5")
+    return found.select("query_id", "place", "document_id", "item_id", "score", "label")
+
+
+def rationale_in_context(spark, sf):
+    s = scored(spark, sf)
+    s = written(s.withColumn("rationale", cl.rationale(s)), "scored")
+    return pipeline.rationale_in_context(s, retrieval.index_documents(parsed(spark, sf), hash_name="md5"), _asked(s.select("id"), "id"), "md5")
 
 
 def action_items(spark, sf):
@@ -305,8 +374,8 @@ def actions_by_owner(spark, sf):
 
 
 def summaries(spark, sf):
-    p = parsed(spark, sf).where("clean_text is not null").select("id", tx.prompt_text("title", "reference_number", "jurisdiction", "clean_text").alias("t"))
-    return p.select("id", tx.headline("t").alias("headline"), F.md5(tx.extractive_summary("t")).alias("summary_md5"), F.array_join(tx.topic_tags("t"), ",").alias("tags"), tx.word_count("t").alias("prompt_tokens"))
+    p = tx.summarize(parsed(spark, sf).where("clean_text is not null"))
+    return p.select("id", "headline", F.md5("summary_text").alias("summary_md5"), F.array_join("topic_tags", ",").alias("tags"), F.md5(F.array_join("key_changes", "|")).alias("changes_md5"), "prompt_tokens")
 
 
 def text_chunks(spark, sf):
@@ -315,9 +384,9 @@ def text_chunks(spark, sf):
 
 
 def embed_texts(spark, sf):
-    """Hashed bag of words of every parsed title, as its non-zero entries."""
-    p = parsed(spark, sf).select("id", F.posexplode(kernels.embed_udf(F.col("title"), 256, "md5")).alias("dim", "v"))
-    return p.where("v <> 0").select("id", "dim", F.round(F.col("v").cast("double"), 4).alias("value"))
+    """Hashed bag of words of every document, as its non-zero entries."""
+    p = parsed(spark, sf).select("id", F.posexplode(kernels.embed_udf(F.col("clean_text"), 256, "md5")).alias("dim", "v"))
+    return p.where("v <> 0").select("id", "dim", F.round("v", 6).alias("value"))
 
 
 def embed_blake2b(spark, sf):
@@ -423,14 +492,40 @@ def stage_markers(spark, sf):
     return state.stage_markers(last, "replay").groupBy("stage").agg(F.count("*").alias("n"))
 
 
+def _reviewed(spark, sf):
+    s = scored(spark, sf)
+    s = written(s.withColumn("rationale", cl.rationale(s)), "scored")
+    return notify.with_actions(s, cl.plan_actions(s, as_of()))
+
+
 def approval_requests(spark, sf):
-    a = state.approval_requests(scored(spark, sf), as_of())
-    return a.select("approval_id", "document_id", "status", "decided_by", F.date_format("expires_at", "yyyy-MM-dd HH:mm").alias("expires"))
+    a = state.approval_requests(_reviewed(spark, sf), as_of(), "r1")
+    minute = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm").alias(c)
+    return a.select(
+        "approval_id", "document_id", "assessment_id", "run_id", "status", "title", "summary", "action_count", "decided_by", "decision_note", minute("decided_at"), minute("expires_at"),
+        F.round("payload.score", 4).alias("score"), F.md5("payload.rationale").alias("rationale_md5"), F.array_join(F.transform("payload.actions", lambda x: F.concat_ws("/", x["title"], x["priority"], x["owner"])), "; ").alias("actions"),
+    )
+
+
+def pending_approvals(spark, sf):
+    return state.pending_approvals(state.approval_requests(_reviewed(spark, sf), as_of(), "r1"), "r1").select("document_id", "risk_level", "title")
+
+
+def approved_documents(spark, sf):
+    return state.is_approved(state.approval_requests(_reviewed(spark, sf), as_of()))
+
+
+def run_audit(spark, sf):
+    """Events of scored documents, their actions and their approvals."""
+    s = written(_reviewed(spark, sf), "reviewed")
+    events = pipeline.audit(s.select("id"), s, cl.plan_actions(s, as_of()), state.approval_requests(s, as_of()), as_of())
+    level = F.get_json_object("payload", "$.risk_level")
+    return events.groupBy("event_type", "entity_type", "actor", level.alias("risk_level")).agg(F.count("*").alias("n"), F.count_distinct("entity_id").alias("n_entities"))
 
 
 def approval_latest(spark, sf):
     """Two logged decisions for each request of a high or critical document, the later one counts; the rest expire."""
-    req = state.approval_requests(scored(spark, sf), as_of())
+    req = state.approval_requests(_reviewed(spark, sf), as_of())
     log = req.where("status = 'pending' and substr(approval_id, 1, 1) < '8'")
     first = log.select("approval_id", F.lit("rejected").alias("status"), F.lit("a").alias("decided_by"), (as_of() + F.expr("INTERVAL 1 HOUR")).alias("decided_at"))
     second = log.where("substr(approval_id, 1, 1) < '4'").select("approval_id", F.lit("approved").alias("status"), F.lit("b").alias("decided_by"), (as_of() + F.expr("INTERVAL 2 HOURS")).alias("decided_at"))
@@ -439,29 +534,62 @@ def approval_latest(spark, sf):
 
 
 def notify_single(spark, sf):
-    n = state.notification(scored(spark, sf))
-    return n.select("id", "subject", F.md5("body").alias("body_md5"))
+    return notify.notification(_reviewed(spark, sf)).select("id", "subject", "body")
+
+
+def notify_routed(spark, sf):
+    """Critical messages go to chat only, the others everywhere."""
+    m = notify.notification(_reviewed(spark, sf)).withColumn("channel", F.when(F.col("risk_level") == "critical", "slack").otherwise("all"))
+    return notify.routed(m, ["slack", "email"], "channel").groupBy("to_channel", "risk_level").agg(F.count("*").alias("n"))
 
 
 def notify_digest(spark, sf):
-    return state.digest(scored(spark, sf), "id")
+    s = scored(spark, sf).withColumn("n_actions", F.size(cl.action_keys()))
+    counted = s.agg(F.count("*").alias("processed")).select("processed", F.lit(3).alias("duplicates"), F.lit(0).alias("errors"))
+    return notify.digest(s, counted, "r1", as_of(), "parsed_at", "id")
 
 
 def notify_unsent(spark, sf):
-    s = scored(spark, sf)
+    s = _reviewed(spark, sf)
     sent = s.where("substr(id, 1, 1) < '8'").select(F.col("id").alias("document_id"), "risk_level")
-    return state.unsent(state.notification(s), sent).groupBy("risk_level").agg(F.count("*").alias("n"))
+    return notify.unsent(notify.notification(s), sent).groupBy("risk_level").agg(F.count("*").alias("n"))
+
+
+def _run(spark, sf):
+    return pipeline.run(table(spark, sf, "raw_documents"), "r1", as_of(), hash_name="md5")
+
+
+def run_outcomes(spark, sf):
+    """What became of every page of a run over all of them."""
+    return _run(spark, sf).outcomes
 
 
 def run_counters(spark, sf):
-    raw = table(spark, sf, "raw_documents").select(F.col("id").alias("rid"), F.col("content_format")).distinct()
+    return _run(spark, sf).counters
+
+
+def stored_counters(spark, sf):
+    """The same counts out of the stored tables: parsed pages, those whose hash an earlier document has, none in error."""
+    raw = table(spark, sf, "raw_documents").select(F.col("id").alias("rid")).distinct()
     p = parsed(spark, sf).select(F.col("raw_document_id").alias("rid"), "id").dropDuplicates(["rid"])
     fp = table(spark, sf, "document_fingerprints").select(F.col("doc_id").alias("id"), F.lower(F.trim("content_hash")).alias("h")).dropDuplicates(["id"])
-    first = fp.groupBy("h").agg(F.min("id").alias("keep"))
-    dup = fp.join(first, "h").where("id <> keep").select("id", F.lit(True).alias("d"))
+    dup = fp.join(fp.groupBy("h").agg(F.min("id").alias("keep")), "h").where("id <> keep").select("id", F.lit(True).alias("d"))
     out = raw.join(p, "rid", "left").join(dup, "id", "left")
-    duplicate = F.coalesce("d", F.lit(False))
-    return state.run_counters(out.select(F.col("id").isNotNull().alias("parsed"), (F.col("id").isNotNull() & ~duplicate).alias("scored"), duplicate.alias("duplicate"), F.lit(None).cast("string").alias("error")))
+    known, duplicate = F.col("id").isNotNull(), F.coalesce("d", F.lit(False))
+    return state.run_counters(out.select(known.alias("parsed"), (known & ~duplicate).alias("scored"), duplicate.alias("duplicate"), F.lit(None).cast("string").alias("error")))
+
+
+def run_markers(spark, sf):
+    return _run(spark, sf).markers.groupBy("stage").agg(F.count("*").alias("n"))
+
+
+def run_again(spark, sf):
+    """A second run that knows the first one's markers and fingerprints: every page it processed is skipped, every other one a duplicate or without text."""
+    raw = table(spark, sf, "raw_documents")
+    one = pipeline.run(raw, "r1", as_of(), hash_name="md5")
+    two = pipeline.run(raw, "r2", as_of(), known=one.fingerprints, markers=one.markers, hash_name="md5")
+    both = one.outcomes.select("id", F.col("outcome").alias("first")).join(two.outcomes.select("id", F.col("outcome").alias("second")), "id")
+    return both.groupBy("first", "second").agg(F.count("*").alias("n"))
 
 
 def stream_notifications(spark, sf):
@@ -470,7 +598,7 @@ def stream_notifications(spark, sf):
     return notifications_once(spark, f"{sf}/audit_log.parquet")
 
 
-_HELPERS = ("table", "parsed", "scored", "as_of", "queries", "oracle_sql")
+_HELPERS = ("table", "parsed", "scored", "as_of", "queries", "oracle_sql", "written")
 
 
 def queries():
@@ -479,6 +607,7 @@ def queries():
 
 def oracle_sql():
     from .oracle import ORACLE
+    from .oracle_more import MORE
     from .oracle_text import TEXT
 
-    return ORACLE | TEXT
+    return ORACLE | TEXT | MORE

@@ -11,14 +11,14 @@ JURISDICTIONS = {
 SEVERITY = {"low": 0, "medium": 1, "high": 2, "critical": 3}
 STAGES = ("fetched", "parsed", "normalized", "deduplicated", "classified", "summarized", "indexed", "risk_assessed", "actions_planned", "notified")
 
-# Bundled sources: id, name, jurisdiction, url, source type.
+# Bundled sources: id, name, jurisdiction, url, source type, description, minutes between crawls, tags.
 BUNDLED_SOURCES = (
-    ("rbi-notifications", "RBI Notifications", "RBI", "https://www.rbi.org.in/Scripts/NotificationUser.aspx", "html"),
-    ("rbi-press-releases", "RBI Press Releases", "RBI", "https://www.rbi.org.in/Scripts/BS_PressReleaseDisplay.aspx", "html"),
-    ("sebi-circulars", "SEBI Circulars", "SEBI", "https://www.sebi.gov.in/sebiweb/home/HomeAction.do?doListing=yes&sid=1&ssid=7", "html"),
-    ("fda-press-releases", "FDA Press Releases", "FDA", "https://www.fda.gov/about-fda/contact-fda/stay-informed/rss-feeds/press-releases/rss.xml", "rss"),
-    ("fda-federal-register", "FDA Federal Register", "FDA", "https://www.federalregister.gov/api/v1/documents.rss?conditions[agencies][]=food-and-drug-administration", "rss"),
-    ("eu-ai-act-updates", "EU AI Act Updates", "EU_AI_ACT", "https://digital-strategy.ec.europa.eu/en/policies/regulatory-framework-ai", "html"),
+    ("rbi-notifications", "RBI Notifications", "RBI", "https://www.rbi.org.in/Scripts/NotificationUser.aspx", "html", "Circulars and notifications issued by the Reserve Bank of India.", 720, ("banking", "india", "circulars")),
+    ("rbi-press-releases", "RBI Press Releases", "RBI", "https://www.rbi.org.in/Scripts/BS_PressReleaseDisplay.aspx", "html", "Official press releases from the Reserve Bank of India.", 1440, ("banking", "india", "press")),
+    ("sebi-legal-circulars", "SEBI Legal Circulars", "SEBI", "https://www.sebi.gov.in/sebiweb/home/HomeAction.do?doListing=yes&sid=1&ssid=6&smid=0", "html", "Circulars published by the Securities and Exchange Board of India.", 720, ("securities", "india", "circulars")),
+    ("fda-press-announcements", "FDA Press Announcements", "FDA", "https://www.fda.gov/about-fda/contact-fda/stay-informed/rss-feeds/press-releases/rss.xml", "rss", "FDA press announcements RSS feed.", 360, ("healthcare", "usa", "press")),
+    ("fda-federal-register", "FDA Federal Register Rules", "FDA", "https://www.federalregister.gov/agencies/food-and-drug-administration", "html", "FDA rules and notices published in the US Federal Register.", 720, ("healthcare", "usa", "rules")),
+    ("eu-ai-act-updates", "EU AI Act Newsroom", "EU_AI_ACT", "https://digital-strategy.ec.europa.eu/en/policies/regulatory-framework-ai", "html", "Updates to the EU regulatory framework for artificial intelligence.", 1440, ("ai", "eu", "regulation")),
 )
 
 # Topics, in order; the size of each list enters the confidence.
@@ -117,13 +117,13 @@ BOILERPLATE = (
 )
 
 STOPWORDS = {
-    "en": "the of and to in is are for that this with as be by on or an it shall not",
-    "fr": "le la les de des et un une est pour que dans sur par au aux ce ne pas",
-    "de": "der die das und ist den von zu im mit dem ein eine nicht auch auf für",
-    "es": "el la los las de y un una es que en para por con no se su del al",
-    "it": "il la di e che un una per non con sono come del le gli nella alla",
-    "pt": "o a os de e que do da em um uma para com não se na no por dos",
-    "nl": "de het een en van is op te dat met voor zijn niet aan door ook als",
+    "en": ("the", "of", "and", "to", "in", "is", "are", "for", "that", "this", "with", "as", "be", "by", "on", "or", "an", "it", "shall", "not"),
+    "fr": ("le", "la", "les", "de", "des", "et", "un", "une", "est", "pour", "que", "dans", "sur", "par", "au", "aux", "ce", "ne", "pas"),
+    "de": ("der", "die", "das", "und", "ist", "den", "von", "zu", "im", "mit", "dem", "ein", "eine", "nicht", "auch", "auf", "für"),
+    "es": ("el", "la", "los", "las", "de", "y", "un", "una", "es", "que", "en", "para", "por", "con", "no", "se", "su", "del", "al"),
+    "it": ("il", "la", "di", "e", "che", "un", "una", "per", "non", "con", "sono", "come", "del", "le", "gli", "nella", "alla"),
+    "pt": ("o", "a", "os", "de", "e", "que", "do", "da", "em", "um", "uma", "para", "com", "não", "se", "na", "no", "por", "dos"),
+    "nl": ("de", "het", "een", "en", "van", "is", "op", "te", "dat", "met", "voor", "zijn", "niet", "aan", "door", "ook", "als"),
 }
 SCRIPTS = (("hi", "0900", "097F"), ("ru", "0400", "04FF"), ("ar", "0600", "06FF"), ("he", "0590", "05FF"), ("el", "0370", "03FF"), ("ja", "3040", "30FF"), ("ko", "AC00", "D7A3"), ("zh", "4E00", "9FFF"))
 
@@ -154,3 +154,17 @@ ADAPTERS = {
     "FDA": (("/news-events/", "/drugs/", "/documents/", "/regulatory-information/", "federalregister.gov/documents/"), False),
     "EU_AI_ACT": (("/news/", "/library/", "/policies/", "/news-redirect/", "artificial-intelligence"), True),
 }
+
+# Links that lead to no page, and how many a page gives at most.
+SKIPPED_LINKS = ("mailto:", "javascript:", "tel:", "#")
+MAX_LINKS = 100
+# Marks of UTF-8 read as a single-byte table.
+MOJIBAKE = ("Ã", "â€", "Â", " Â", "ï»¿")
+# Characters that part the words of an embedding.
+WORD_SEPARATORS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~\n"
+CHUNK_CHARS = 1000
+CHUNK_OVERLAP = 150
+RISK_SIGNS = {"critical": "🔴", "high": "🟠", "medium": "🟡", "low": "🟢"}
+# Answers of a server after which it is asked again.
+RETRY_STATUS = (429, 500, 502, 503, 504)
+AUDIT_EVENTS = ("document.fetched", "document.parsed", "document.normalized", "document.classified", "risk.assessed", "action.created", "notification.sent", "approval.granted", "approval.rejected", "error")

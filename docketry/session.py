@@ -1,8 +1,9 @@
-"""Sessions and lineage cuts."""
+"""Sessions, the folder all executors share, and lineage cuts."""
 
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,17 +24,34 @@ def build_session(app: str = "docketry", master: str | None = None, **conf) -> S
     return builder.getOrCreate()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows of ``df`` in the checkpoint folder all executors share; safe from lost executors.
-
-    The folder is the session's ``spark.checkpoint.dir``; one of our own is set only where that
-    is unset, as in tests.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        configured = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not configured:
-            configured = "file:///tmp/docketry-checkpoints"
-            os.makedirs(configured[7:], exist_ok=True)
-        sc.setCheckpointDir(configured)
-    return df.checkpoint(eager=True)
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset and everything runs on one machine (tests)."""
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        configured = "file:///tmp/docketry-shared"
+        os.makedirs(configured[7:], exist_ok=True)
+    return configured
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder in the shared one, gone with the session."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(where)
+    files.deleteOnExit(where)
+    return path
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows of ``df`` as a table in the shared folder: read many times, computed once, safe from lost executors, gone with the session."""
+    path = new_folder(df.sparkSession, name)
+    df.write.mode("append").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

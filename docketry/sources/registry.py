@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import rules
+from ..session import exists
 
 SCHEMA = (
     "id string, name string, jurisdiction string, url string, source_type string, description string, enabled boolean, "
@@ -37,7 +38,16 @@ def from_yaml(spark: SparkSession, path: str) -> DataFrame:
 
 
 def bundled(spark: SparkSession) -> DataFrame:
-    return from_dicts(spark, [dict(zip(("id", "name", "jurisdiction", "url", "source_type"), s)) for s in rules.BUNDLED_SOURCES])
+    fields = ("id", "name", "jurisdiction", "url", "source_type", "description", "crawl_frequency_minutes", "tags")
+    return from_dicts(spark, [dict(zip(fields, s)) for s in rules.BUNDLED_SOURCES])
+
+
+def get(sources: DataFrame, source_id: str) -> DataFrame:
+    return sources.where(F.col("id") == source_id.strip().lower())
+
+
+def jurisdictions(sources: DataFrame) -> DataFrame:
+    return sources.select("jurisdiction").distinct()
 
 
 def enabled(sources: DataFrame, jurisdiction: str | None = None) -> DataFrame:
@@ -67,6 +77,20 @@ def adapters(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(k, list(p), s) for k, (p, s) in rules.ADAPTERS.items()], "jurisdiction string, patterns array<string>, same_host boolean")
 
 
+def register(adapters: DataFrame, jurisdiction: str, patterns: list[str], same_host: bool = True, replace: bool = False) -> DataFrame:
+    """Adapters with one more; a jurisdiction that has one already is an error unless it is to be replaced."""
+    if not replace and adapters.where(F.col("jurisdiction") == jurisdiction).limit(1).count():
+        raise ValueError(f"an adapter is registered for {jurisdiction}")
+    more = adapters.sparkSession.createDataFrame([(jurisdiction, list(patterns), same_host)], adapters.schema)
+    return adapters.where(F.col("jurisdiction") != jurisdiction).unionByName(more)
+
+
+def for_sources(sources: DataFrame, adapters: DataFrame) -> DataFrame:
+    """Sources with patterns and same_host of their adapter; without one, the source's own url is all there is to fetch (has_adapter false)."""
+    own = sources.join(adapters.withColumn("has_adapter", F.lit(True)), "jurisdiction", "left")
+    return own.withColumn("has_adapter", F.coalesce("has_adapter", F.lit(False)))
+
+
 def matches_adapter(url: Column, patterns: Column) -> Column:
     return F.exists(patterns, lambda p: F.lower(url).contains(p))
 
@@ -88,5 +112,16 @@ def raw_store(raw: DataFrame) -> DataFrame:
     return once.select("source_id", "jurisdiction", "byte_hash", store_path(F.col("jurisdiction"), F.col("source_id"), F.col("byte_hash"), F.col("content_format")).alias("path"), "content")
 
 
+def metadata_record(raw: DataFrame) -> Column:
+    """JSON that is kept beside a stored content."""
+    return F.to_json(F.struct(*(F.col(c) for c in ("id", "source_id", "jurisdiction", "url", "content_format", "http_status", "fetched_at") if c in raw.columns)))
+
+
 def write_store(raw: DataFrame, path: str) -> None:
-    raw_store(raw).write.mode("append").partitionBy("jurisdiction", "source_id").parquet(path)
+    """Adds contents the store does not hold yet; writing the same again changes nothing."""
+    spark = raw.sparkSession
+    new = raw_store(raw)
+    if exists(spark, path):
+        held = spark.read.parquet(path).select(F.col("source_id").cast("string").alias("source_id"), "byte_hash").distinct()
+        new = new.join(held, ["source_id", "byte_hash"], "left_anti")
+    new.write.mode("append").partitionBy("jurisdiction", "source_id").parquet(path)

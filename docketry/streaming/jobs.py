@@ -1,22 +1,16 @@
-"""Structured Streaming forms: incremental runs, notifications once each, expiring approvals."""
+"""Structured Streaming forms: incremental runs, notifications once each, windowed counts."""
 
 from __future__ import annotations
 
-import os
-import uuid
+import logging
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import exists, new_folder
 
-def _folder(spark: SparkSession, name: str) -> str:
-    """A new folder in the place all executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file:///tmp/docketry-checkpoints"
-        os.makedirs(base[7:], exist_ok=True)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+log = logging.getLogger(__name__)
 
 
 def read_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -34,24 +28,51 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
 
 
-def run_available(stream: DataFrame, step: Callable[[DataFrame, int], None], name: str = "run") -> None:
+def surviving(step: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
+    """A step whose failure is logged and ends its micro-batch, not the query."""
+
+    def run(batch: DataFrame, no: int) -> None:
+        try:
+            step(batch, no)
+        except Exception:
+            log.exception("micro-batch %d failed", no)
+
+    return run
+
+
+def run_available(stream: DataFrame, step: Callable[[DataFrame, int], None], name: str = "run", checkpoint: str | None = None) -> None:
     """One pass over what is there: each micro-batch goes through ``step``."""
-    query = stream.writeStream.foreachBatch(step).option("checkpointLocation", _folder(stream.sparkSession, name)).trigger(availableNow=True).start()
-    query.awaitTermination()
+    mark = checkpoint or new_folder(stream.sparkSession, name)
+    stream.writeStream.foreachBatch(step).option("checkpointLocation", mark).trigger(availableNow=True).start().awaitTermination()
+
+
+def run_loop(stream: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: str, minutes: float = 60):
+    """The same again and again, surviving failed batches; returns the running query, ``stop()`` ends it."""
+    return stream.writeStream.foreachBatch(surviving(step)).option("checkpointLocation", checkpoint).trigger(processingTime=f"{int(minutes * 60)} seconds").start()
+
+
+def once_each(keys: list[str], path: str) -> Callable[[DataFrame, int], None]:
+    """A step that appends the rows whose keys the table at ``path`` does not hold yet.
+
+    What was told is kept in the table and not as state of the stream, and a batch that is run again
+    finds its own rows and adds none.
+    """
 
+    def step(batch: DataFrame, _: int) -> None:
+        new = batch.dropDuplicates(keys)
+        if exists(batch.sparkSession, f"{path}/_SUCCESS"):
+            new = new.join(batch.sparkSession.read.parquet(path).select(*keys), keys, "left_anti")
+        new.write.mode("append").parquet(path)
 
-def run_loop(stream: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: str, minutes: int = 60):
-    """The same again and again; returns the running query, ``stop()`` ends it."""
-    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(processingTime=f"{minutes} minutes").start()
+    return step
 
 
 def notifications_once(spark: SparkSession, path: str) -> DataFrame:
     """(entity_id, event_type): each assessed or acted-on entity told once, whatever is delivered again."""
-    events = read_stream(spark, path).where("event_type in ('risk.assessed', 'action.created') and entity_id is not null")
-    out, mark = _folder(spark, "told"), _folder(spark, "told-mark")
-    once = events.withWatermark("created_at", "3650 days").dropDuplicates(["entity_id", "event_type"]).select("entity_id", "event_type")
-    once.writeStream.format("parquet").option("path", out).option("checkpointLocation", mark).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(once.schema).parquet(out)
+    events = read_stream(spark, path).where("event_type in ('risk.assessed', 'action.created') and entity_id is not null").select("entity_id", "event_type")
+    out = new_folder(spark, "told")
+    run_available(events, once_each(["entity_id", "event_type"], out), "told-mark")
+    return spark.read.schema(events.schema).parquet(out)
 
 
 def windowed_counts(events: DataFrame, ts: str = "created_at", width: str = "1 day", late: str = "2 days") -> DataFrame:

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from docketry.functions import kernels, text as tx
+from docketry.functions import html, kernels, text as tx
 from docketry.operators import classify as cl
 from docketry.operators import dedup, retrieval, state
 from docketry.sources import registry
@@ -15,7 +15,7 @@ GOLDEN = (
 
 
 def test_html():
-    text, title, headings, hrefs = kernels.parse_html("<title> A &amp; B </title><h1>First</h1><script>x</script><p>One<br/>two</p><h2>Second</h2><a href=' /x '>y</a>")
+    text, title, headings, hrefs = html.parse_html("<title> A &amp; B </title><h1>First</h1><script>x</script><p>One<br/>two</p><h2>Second</h2><a href=' /x '>y</a>")
     assert title == "A & B" and headings == ["First", "Second"] and hrefs == ["/x"]
     assert "x" not in text.split() and "One" in text
 
@@ -23,25 +23,57 @@ def test_html():
 def test_links():
     got = kernels.normalize_links("https://a.example/l", ["/p#top", "mailto:x", "https://b.example/", "/p", "/q"])
     assert got == ["https://a.example/p", "https://a.example/q"]
+    assert kernels.normalize_links("https://A.example/", ["https://a.example/x", "/y"]) == ["https://A.example/y"]
+    assert kernels.normalize_links("https://a.example/", ["/NEWS/1", "/other"], ["/news/"]) == ["https://a.example/NEWS/1"]
+    assert len(kernels.normalize_links("https://a.example/", [f"/{i}" for i in range(150)])) == 100
 
 
 def test_feed():
     assert kernels.parse_feed("<rss><channel><item><link> http://a </link></item></channel></rss>") == ["http://a"]
+    item = "<rss><channel><item><link></link><link>http://b</link></item><item><link>http://c</link></item></channel></rss>"
+    assert kernels.parse_feed(item) == ["http://c"]
+    atom = '<feed xmlns="http://www.w3.org/2005/Atom"><entry><link rel="self" href="http://s"/><link href="http://d"/></entry><entry><link rel="self" href="http://e"/></entry></feed>'
+    assert kernels.parse_feed(atom) == ["http://d", "http://e"] and kernels.parse_feed(atom.replace(' xmlns="http://www.w3.org/2005/Atom"', "")) == []
     assert kernels.parse_feed("<rss") == [] and kernels.parse_feed(None) == []
 
 
 def test_mojibake_and_chunks():
     assert kernels.fix_mojibake("the bankâ€™s policy") == "the bank’s policy"
-    assert kernels.fix_mojibake(None) is None
+    assert kernels.fix_mojibake(None) is None and kernels.fix_mojibake("ï»¿Title") == "\ufeffTitle" and kernels.fix_mojibake("É agora") == "É agora"
     got = kernels.chunks("word " * 500, 100, 20)
     assert len(got) > 1 and all(len(t) <= 100 for _, t, _, _ in got) and got[1][2] < got[0][3]
     assert kernels.chunks("  ") == []
 
 
-def test_clean_lines():
-    assert kernels.clean_lines("Skip to main content\nBody\nPage 3 of 10") == ("Body", 2)
-    assert kernels.clean_lines("a\nb\na\nc\na")[0] == "b\nc"
-    assert kernels.clean_lines(None) == (None, 0)
+def test_strip_boilerplate(spark):
+    rows = [("a", "Skip to main content\nBody\nPage 3 of 10"), ("b", "a\nb\na\nc\na"), ("c", None), ("d", ""), ("e", "x" * 81 + "\n" + "x" * 81 + "\n" + "x" * 81)]
+    got = {r.id: (r.stripped, r.removed) for r in tx.strip_boilerplate(spark.createDataFrame(rows, "id string, t string"), "t").collect()}
+    assert got["a"] == ("Body", 2) and got["b"] == ("b\nc", 3) and got["c"] == (None, 0) and got["d"] == ("", 0) and got["e"][1] == 0
+
+
+def test_html_titles_and_hidden_parts():
+    text, title, headings, hrefs = html.parse_html("<svg><title>Icon</title></svg><title>A</title><title>B</title><h2>a<script>no</script>b</h2><!-- <h1>no</h1> --><a href=x&amp;y>1</a><p/>&lt;t&gt; <3")
+    assert title == "AB" and headings == ["ab"] and hrefs == ["x&y"] and "no" not in text and "<t> <3" in text
+    assert html.parse_html(None) == ("", None, [], []) and html.parse_html("<a href='/q' title='a > b'>z</a>")[3] == ["/q"]
+
+
+def test_pdf_text():
+    import zlib
+
+    page = zlib.compress(b"BT (Rule \\(1\\)) Tj T* [(on ) -20 (ledgers)] TJ ET")
+    data = b"%PDF-1.4\n<< /Title (Own title) >>\n<< /Length 9 /Filter /FlateDecode >>\nstream\n" + page + b"\nendstream\n<< /Filter /FlateDecode >>\nstream\nbroken\nendstream"
+    assert kernels.parse_pdf(data) == ("Rule (1)\non ledgers", "Own title")
+    assert kernels.parse_pdf(b"none") == kernels.parse_pdf(None) == ("", None)
+
+
+def test_lenient_decode():
+    assert kernels.decode_lenient("é".encode("latin-1"), "latin-1") == "é" and kernels.decode_lenient(b"a\xff", "no-such") == "a�" and kernels.decode_lenient(None) is None
+
+
+def test_fixed_rounds_as_the_binary_value_says(spark):
+    values = [0.2825, 0.1465, 0.245, 0.125, 0.375, 0.0, 1.0, 0.9995, 0.5, 0.2675, 12.3456, 0.285]
+    got = spark.createDataFrame([(v,) for v in values], "v double").select(tx.fixed("v", 3).alias("a"), tx.fixed("v", 2).alias("b")).collect()
+    assert [(r.a, r.b) for r in got] == [(f"{v:.3f}", f"{v:.2f}") for v in values]
 
 
 def test_metadata(spark):
@@ -80,7 +112,7 @@ def test_risk_golden(spark):
 def test_simhash_forms_agree(spark):
     df = spark.createDataFrame([("a", "one two three four five"), ("b", ""), ("c", None)], "id string, t string")
     native = {r.id: r.simhash for r in dedup.simhash_native(df, "id", "t").collect()}
-    assert native["a"] == kernels.simhash(["one two", "two three", "three four", "four five"], "md5") and native["b"] == native["c"] == 0
+    assert native["a"] == kernels.simhashes([["one two", "two three", "three four", "four five"]], "md5")[0] and native["b"] == native["c"] == 0
 
 
 def _sequential(docs, radius=6):
@@ -115,6 +147,29 @@ def test_greedy_dedup_equals_loop(spark):
     values = sorted({s for _, _, s in docs})
     want = {(a, b) for n, a in enumerate(values) for b in values[n + 1 :] if bin((a ^ b) & (2**64 - 1)).count("1") <= 6}
     assert pairs == want
+    for together in (1, 2, 3, 4):
+        rows = [(r.a, r.b) for r in dedup.near_pairs(df, together=together).collect()]
+        assert len(rows) == len(set(rows)) and set(rows) == want
+
+
+def test_greedy_dedup_with_known_documents(spark):
+    """Known documents come first and are all indexed, however close they are to each other."""
+    known = [("k1", 5, "h1", 0), ("k2", 9, "h2", 1)]
+    new = [("n1", 1, "h1", 0), ("n2", 2, "h9", 3), ("n3", 3, "h3", 2**40 - 1), ("n4", 4, "h3", 2**40 - 1), ("n5", 5, "h8", 2**40 - 2)]
+    schema = "doc_id string, ord int, content_hash string, simhash bigint"
+    got = {r.doc_id: (r.kind, r.matched) for r in dedup.greedy_dedup(spark.createDataFrame(new, schema), known=spark.createDataFrame(known, schema)).collect()}
+    assert got == {"n1": ("exact", "k1"), "n2": ("near", "k2"), "n3": ("unique", None), "n4": ("exact", "n3"), "n5": ("near", "n3")}
+
+
+def test_long_chain_of_near_documents(spark):
+    """Each fingerprint is near the one before only; every second one is indexed."""
+    chain, value = [], 0
+    for i in range(15):
+        chain.append((f"d{i:02d}", i, f"h{i}", value))
+        for b in range(4):
+            value ^= 1 << ((4 * i + b) % 63)
+    got = {r.doc_id: r.kind for r in dedup.greedy_dedup(spark.createDataFrame(chain, "doc_id string, ord int, content_hash string, simhash bigint")).collect()}
+    assert got == {f"d{i:02d}": "near" if i % 2 else "unique" for i in range(15)}
 
 
 def test_greedy_dedup_empty(spark):
@@ -145,6 +200,20 @@ def test_registry(spark):
     row = {"id": "a", "name": "A", "jurisdiction": "RBI", "url": "u", "source_type": "html"}
     with pytest.raises(ValueError, match="duplicate"):
         registry.from_dicts(spark, [row, row | {"id": "A "}])
+    adapters = registry.adapters(spark)
+    with pytest.raises(ValueError, match="registered"):
+        registry.register(adapters, "RBI", ["/x/"])
+    more = registry.register(adapters, "NEW", ["/x/"])
+    assert more.count() == 5 and registry.register(more, "RBI", ["/y/"], replace=True).where("jurisdiction = 'RBI'").first().patterns == ["/y/"]
+    assert registry.get(registry.bundled(spark), " SEBI-legal-circulars").first().crawl_frequency_minutes == 720
+
+
+def test_store_twice(spark, tmp_path):
+    rows = [("a", "s", "RBI", "html", "<p>x"), ("b", "s", "RBI", "html", "<p>x"), ("c", "t", "RBI", "text", "<p>x"), ("d", "t", "RBI", "pdf", None)]
+    raw = spark.createDataFrame(rows, "id string, source_id string, jurisdiction string, content_format string, content string")
+    for _ in range(2):
+        registry.write_store(raw, f"file://{tmp_path}/store")
+    assert spark.read.parquet(f"file://{tmp_path}/store").count() == 2
 
 
 def test_titles_of_all_formats(spark, tmp_path):
