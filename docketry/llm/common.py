@@ -3,46 +3,18 @@
 from __future__ import annotations
 
 import hashlib
-import os
-import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import new_folder, written  # noqa: F401 - for the operators
+
 BROADCAST_ROWS = 1_000_000  # largest table that may be sent to every task as a sorted array
 FILTER_BITS = 1 << 29  # largest bitmap that may be sent to every task: 64 MB
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset and everything runs in one process (tests)."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        if not spark.sparkContext.master.startswith(("local[", "local-cluster")) and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        configured = "file:///tmp/docketry-checkpoints"
-        os.makedirs(configured[7:], exist_ok=True)
-    return configured
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A folder in the shared one, gone with the session."""
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    files.mkdirs(where)
-    files.deleteOnExit(where)
-    return path
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows of ``df`` as a table in the shared folder: read many times, computed once, safe from lost executors, gone with the session."""
-    path = new_folder(df.sparkSession, name)
-    df.write.mode("append").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def sliced(run, rows: int = 1000):
     """``run`` over slices of the Arrow batches: texts are long, and what Python makes of a slice must fit a small worker."""
 
