@@ -234,6 +234,50 @@ def test_encoding_of_a_small_source(spark):
     assert all(got[f"k{i}"] == clean[i] for i in range(3)) and all(got[f"b{i}"] == clean[i % 48] for i in range(900))
 
 
+def _prose(n, seed):
+    """Sound text with many accented letters in their usual places."""
+    rng = random.Random(seed)
+    words = "größe straße maß prüfung übung behörde möglich führen können für über ändern anhörung verfügung erklärung köln schön années décret société également période règle première après intérêt même être contrôle forêt français reçu façade où là déjà naïve".split()
+    plain = "die der und mit nach dem der les des dans pour avec sur register konto bilanz banque conseil".split()
+    return [" ".join(rng.choice(words if rng.random() < 0.5 else plain) for _ in range(60)) for _ in range(n)]
+
+
+def test_encoding_learns_an_unknown_code_page(spark):
+    """A page no list has, bytes 128 and up in random order over Georgian letters, in one source; it is learned and undone."""
+    letters = [chr(0x10A0 + i) for i in range(128)]
+    random.Random(11).shuffle(letters)
+    strange = lambda text: "".join(letters[b - 128] if b > 127 else chr(b) for b in text.encode())
+    clean = _prose(400, 1)
+    rows = [(f"c{i}", "big", t) for i, t in enumerate(_prose(600, 2))] + [(f"o{i}", "own", t) for i, t in enumerate(_prose(100, 3))]
+    rows += [(f"x{i}", "own", strange(t)) for i, t in enumerate(clean)]
+    df = spark.createDataFrame(rows, "id string, source_id string, text string")
+    got = {r.id: r.restored for r in encoding.repair_encoding(df, ["id"], "source_id", "text", encoding.encoding_model(df, "source_id", "text")).collect()}
+    assert set(got) <= {f"x{i}" for i in range(400)}
+    letters_right = sum(sum(a == b for a, b in zip(got.get(f"x{i}", strange(t)), t)) if len(got.get(f"x{i}", "")) == len(t) else 0 for i, t in enumerate(clean))
+    assert letters_right >= 0.98 * sum(map(len, clean))
+    assert sum(got.get(f"x{i}") == t for i, t in enumerate(clean)) >= 380
+
+
+def test_encoding_learns_swapped_letters(spark):
+    """Single bytes read through an unknown page: a letter stands for a letter."""
+    swap = {c: chr(0x2460 + i) for i, c in enumerate("äöüßéèêàçùôï")}
+    strange = lambda text: "".join(swap.get(c, c) for c in text)
+    clean = _prose(300, 6)
+    rows = [(f"c{i}", "big", t) for i, t in enumerate(_prose(600, 7))] + [(f"x{i}", "own", strange(t)) for i, t in enumerate(clean)]
+    df = spark.createDataFrame(rows, "id string, source_id string, text string")
+    got = {r.id: r.restored for r in encoding.repair_encoding(df, ["id"], "source_id", "text", encoding.encoding_model(df, "source_id", "text")).collect()}
+    assert set(got) == {f"x{i}" for i in range(300)}
+    assert sum(got[f"x{i}"] == t for i, t in enumerate(clean)) >= 280
+
+
+def test_encoding_leaves_other_scripts_alone(spark):
+    """Sound words of other scripts and rare names in one source are no cipher."""
+    rows = [(f"c{i}", "big", t) for i, t in enumerate(_prose(300, 4))]
+    rows += [(f"o{i}", "own", f"{t} निक्षेपागार को तिमाही Sørensen и Смит ação às opções") for i, t in enumerate(_prose(100, 5))]
+    df = spark.createDataFrame(rows, "id string, source_id string, text string")
+    assert encoding.repair_encoding(df, ["id"], "source_id", "text", encoding.encoding_model(df, "source_id", "text")).count() == 0
+
+
 def test_site_lines(spark):
     rows = [(f"d{i}", "s", f"Title {w}\n\nShare  THIS page {i}\nbody {w}", None, 1) for i, w in enumerate(WORDS)]
     rows += [rows[0], ("n", "s", None, None, 1), ("e", None, "", None, 1)]
