@@ -31,7 +31,6 @@ LANGUAGES = ("en", "fr", "de", "es", "it", "pt", "hi")
 TOKENIZER_DIR = "/opt/tokenizers"
 VOCABULARY = "piece_bpe_32k.model"
 DOCS_PER_LANGUAGE = 250
-LONG_WORD = 32  # letters beyond which a word's sums are made in logarithms; the result is the same
 EM_ROUNDS = 3
 MIN_WORDS = 8
 _SPACE = "▁"
@@ -75,15 +74,16 @@ class PieceModel:
         got = self.known.get(word)
         if got is None:
             edges = self.lattice(word)
-            if len(word) > LONG_WORD:
-                got = Lattices([edges]).forward(self.log_probs())[len(edges) - 1]
-            else:
-                forward = np.zeros((len(edges), len(LANGUAGES)))
-                forward[0] = 1.0
-                for j in range(1, len(edges)):
-                    for i, piece in edges[j]:
-                        forward[j] += forward[i] * (self.probs[piece] if piece >= 0 else _UNKNOWN)
-                got = np.log(forward[-1])
+            forward = np.zeros((len(edges), len(LANGUAGES)))
+            forward[0] = 1.0
+            shift = np.zeros(len(LANGUAGES))
+            for j in range(1, len(edges)):
+                for i, piece in edges[j]:
+                    forward[j] += forward[i] * (self.probs[piece] if piece >= 0 else _UNKNOWN)
+                if j % 8 == 0 and (small := forward[j] < 1e-100).any():  # long words: lift the sums that later ones are made of
+                    forward[max(0, j - self.longest) : j + 1, small] *= 1e100
+                    shift[small] -= 100 * np.log(10.0)
+            got = np.log(forward[-1]) + shift
             if len(self.known) > 300_000:
                 self.known.clear()
             self.known[word] = got
