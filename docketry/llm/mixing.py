@@ -1,14 +1,15 @@
 """Problem 8: mixing sources to target weights.
 
-Hierarchical budgeting over the tree domain -> language -> source: target shares are summed up
-the tree, the budget flows down in proportion, and what a node cannot fill (all its records,
-each used ``max_repeats`` times) goes to its siblings that still have room, before it is handed
-to the level above.  Each source then fills its budget from seeded epochs: whole epochs, and a
-prefix by tokens of the last one's seeded order.
+Hierarchical budgeting over the tree domain -> language -> source: a source's share is split over
+its languages by its own tokens, shares are summed up the tree, the budget flows down in
+proportion, and what a leaf cannot fill (all its records, each used ``max_repeats`` times) goes to
+its siblings that still have room, before it is handed to the level above.  Each leaf (a source in
+one language) then fills its budget from seeded epochs, each in an order of its own: whole epochs,
+which need no order, and a prefix by tokens of the last one.
 
 The budget is ``total_tokens``, or ``epochs`` times the tokens of all listed sources.
 
-Running sums are made per bucket of the seeded order, so no source is sorted in one task.
+Running sums are made per bucket of the seeded order, so no leaf is sorted in one task.
 
 Defined results: NULL and empty texts hold no tokens and are not used; sources without target
 are left out; targets without documents are reported with their shortfall; a NULL language
@@ -74,10 +75,10 @@ def _fill(children: dict, weights: dict, room: dict, amount: float) -> dict:
     return out
 
 
-def budgets(leaves: list[tuple[str, str, str, float, float]], total: float) -> dict[str, float]:
-    """Budget of each source; leaves are (domain, language, source, share, room).
+def budgets(leaves: list[tuple[str, str, object, float, float]], total: float) -> dict:
+    """Budget of each leaf; leaves are (domain, language, name, share, room).
 
-    Every node first gets its share of the total; a shortage is filled by siblings under the
+    Every leaf first gets its share of the total; a shortage is filled by siblings under the
     same language, then within the domain, then anywhere.
     """
     got = {s: min(total * share, room) for _, _, s, share, room in leaves}
@@ -101,40 +102,46 @@ def budgets(leaves: list[tuple[str, str, str, float, float]], total: float) -> d
 
 
 def mix(documents: DataFrame, targets: DataFrame, sources: DataFrame, total_tokens: int | None = None, epochs: float = 1.0, seed: int = SEED):
-    """(mix, report): the records with their repeats, and target, actual share, repeats and shortfall of each source."""
+    """(mix, plan): the records with their repeats, and budget, tokens, target and repeats allowed of each leaf (source, language)."""
     counts = written(token_counts(documents).dropDuplicates(["doc_id"]), "mix-tokens")
     goal = targets.select("source", "target_share", "max_repeats")
     listed = counts.where("source is not null")
-    by_lang = listed.groupBy("source", "lang").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs"))
-    per = by_lang.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.sum("docs").alias("docs"), F.max_by("lang", F.struct("tokens", "lang")).alias("language"))
+    per = listed.groupBy("source", "lang").agg(F.sum("n_tokens").alias("tokens"))
     domain = sources.select(F.col("id").alias("source"), F.col("jurisdiction").alias("domain")).dropDuplicates(["source"])
-    # one row per listed source: as many as mix_targets has
-    rows = goal.join(per, "source", "left").join(domain, "source", "left").collect()
-    leaves = [
-        (r.domain or "", r.language or "und", r.source, float(r.target_share or 0.0), float((r.tokens or 0) * max(int(r.max_repeats or 0), 0)))
-        for r in sorted(rows, key=lambda r: r.source or "")
-    ]
-    total = float(total_tokens) if total_tokens is not None else epochs * sum(r.tokens or 0 for r in rows)
+    # a row per listed source and language: as many as mix_targets has, times the languages
+    rows = sorted(goal.join(per, "source", "left").join(domain, "source", "left").collect(), key=lambda r: (r.source or "", r.lang or ""))
+    of_source: defaultdict = defaultdict(int)
+    for r in rows:
+        of_source[r.source] += r.tokens or 0
+    leaves = []
+    for r in rows:
+        part = r.tokens / of_source[r.source] if of_source[r.source] else 1.0
+        share, room = float(r.target_share or 0.0) * part, float((r.tokens or 0) * max(int(r.max_repeats or 0), 0))
+        leaves.append((r.domain or "", r.lang or "und", (r.source, r.lang), share, room))
+    total = float(total_tokens) if total_tokens is not None else epochs * sum(of_source.values())
     plan = budgets(leaves, total)
     spark = documents.sparkSession
-    plan_rows = [(r.source, plan[r.source], int(r.tokens or 0), int(r.max_repeats or 0), float(r.target_share or 0.0)) for r in rows]
-    plan_df = F.broadcast(spark.createDataFrame(plan_rows, "source string, budget double, tokens bigint, max_repeats int, target_share double"))
-
-    order = F.xxhash64(F.lit(seed), F.col("doc_id"))
-    placed = listed.join(plan_df, "source").withColumn("place", order).withColumn("bucket", F.pmod(F.shiftright("place", 40), F.lit(BUCKETS)))
-    by_bucket = placed.groupBy("source", "bucket").agg(F.sum("n_tokens").alias("in_bucket"))
-    before = by_bucket.withColumn("before", F.sum("in_bucket").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)))
-    inside = Window.partitionBy("source", "bucket").orderBy("place", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    plan_rows = [(r.source, r.lang, plan[r.source, r.lang], int(r.tokens or 0), int(r.max_repeats or 0), leaf[3], float(r.target_share or 0.0)) for r, leaf in zip(rows, leaves)]
+    plan_df = F.broadcast(spark.createDataFrame(plan_rows, "source string, lang string, budget double, tokens bigint, max_repeats int, leaf_share double, target_share double"))
+
+    placed = (
+        listed.join(plan_df.where("lang is not null").drop("target_share", "leaf_share"), ["source", "lang"])
+        .withColumn("whole", F.floor(F.col("budget") / F.greatest("tokens", F.lit(1))).cast("int"))
+        .withColumn("place", F.xxhash64(F.lit(seed), "whole", "doc_id"))
+        .withColumn("bucket", F.pmod(F.shiftright("place", 40), F.lit(BUCKETS)))
+    )
+    by_bucket = placed.groupBy("source", "lang", "bucket").agg(F.sum("n_tokens").alias("in_bucket"))
+    before = by_bucket.withColumn("before", F.sum("in_bucket").over(Window.partitionBy("source", "lang").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)))
+    inside = Window.partitionBy("source", "lang", "bucket").orderBy("place", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
     run = (
-        placed.join(before.select("source", "bucket", F.coalesce("before", F.lit(0)).alias("before")), ["source", "bucket"])
+        placed.join(before.select("source", "lang", "bucket", F.coalesce("before", F.lit(0)).alias("before")), ["source", "lang", "bucket"])
         .withColumn("upto", F.col("before") + F.sum("n_tokens").over(inside))
-        .withColumn("whole", F.floor(F.col("budget") / F.greatest("tokens", F.lit(1))).cast("int"))
         .withColumn("rest", F.col("budget") - F.col("whole") * F.col("tokens"))
     )
     # the prefix stops where it comes nearest to the rest: the record across the line is in if more than half of it fits
     last = (F.col("upto") - F.col("n_tokens") / 2) < F.col("rest")
     repeats = F.least(F.col("whole") + F.when(last, 1).otherwise(0), F.col("max_repeats"))
-    used = run.withColumn("repeats", repeats.cast("int")).where("repeats > 0").select("doc_id", "source", "n_tokens", "repeats")
+    used = run.withColumn("repeats", repeats.cast("int")).where("repeats > 0").select("doc_id", "source", "lang", "n_tokens", "repeats")
     return used, plan_df
 
 
@@ -144,7 +151,8 @@ def mix_report(used: DataFrame, plan: DataFrame) -> DataFrame:
         F.sum(F.col("n_tokens") * F.col("repeats")).alias("used_tokens"), F.count("*").alias("records"), F.max("repeats").alias("max_used"), F.sum("repeats").alias("uses")
     )
     whole = Window.partitionBy()  # as many rows as mix_targets has
-    rows = plan.join(got, "source", "left").withColumn("total", F.sum("budget").over(whole))
+    per = plan.groupBy("source").agg(F.sum("budget").alias("budget"), F.sum("tokens").alias("tokens"), F.first("target_share").alias("target_share"))
+    rows = per.join(got, "source", "left").withColumn("total", F.sum("budget").over(whole))
     used_tokens = F.coalesce("used_tokens", F.lit(0))
     return rows.select(
         "source",

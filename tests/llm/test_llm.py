@@ -360,10 +360,33 @@ def test_mix(spark):
     rows = {r.source: r for r in mixing.mix_report(used, plan).collect()}
     assert set(rows) == {"a", "b", "none"} and rows["none"].used_tokens == 0 and rows["none"].shortfall_tokens > 0
     assert used.agg(F.max("repeats")).first()[0] <= 2 and used.where("source not in ('a', 'b')").count() == 0
-    budget = {r.source: r.budget for r in plan.collect()}
+    budget = {r.source: r.budget for r in plan.groupBy("source").agg(F.sum("budget").alias("budget")).collect()}
     assert all(abs(rows[s].used_tokens - budget[s]) <= 40 for s in ("a", "b"))
 
 
+def test_mix_of_languages(spark):
+    """A source in two languages is two leaves; its shortage goes to leaves of its language in its domain; no record is used too often."""
+    text = lambda i: " ".join(WORDS[(i + k) % 6] for k in range(20))
+    docs = [(i, text(i), "a", "en" if i % 4 else "fr") for i in range(40)] + [(100 + i, text(i), "b", "fr") for i in range(200)] + [(400 + i, text(i), "c", "en") for i in range(200)]
+    docs += [docs[0], (999, None, "a", "fr"), (998, "", "b", None)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, source string, lang string")
+    goal = spark.createDataFrame([("a", 0.6, 3), ("b", 0.2, 1), ("c", 0.2, 1)], "source string, target_share double, max_repeats int")
+    src = spark.createDataFrame([("a", "X"), ("b", "X"), ("c", "X")], "id string, jurisdiction string")
+    used, plan = mixing.mix(df, goal, src)
+    total = sum(r.tokens for r in plan.collect())
+    budget = {(r.source, r.lang): r.budget for r in plan.collect()}
+    room = {(r.source, r.lang): r.tokens * r.max_repeats for r in plan.collect()}
+    assert abs(budget["a", "en"] - room["a", "en"]) < 1 and abs(budget["a", "fr"] - room["a", "fr"]) < 1
+    tokens = {(r.source, r.lang): r.tokens for r in plan.collect()}
+    french = tokens["a", "fr"] / (tokens["a", "fr"] + tokens["a", "en"])
+    short_fr, short_en = 0.6 * total * french - room["a", "fr"], 0.6 * total * (1 - french) - room["a", "en"]
+    assert abs(budget["b", "fr"] - (0.2 * total + short_fr)) < 1 and abs(budget["c", "en"] - min(room["c", "en"], 0.2 * total + short_en)) < 1
+    got = {(r.source, r.lang): (r.n, r.m) for r in used.groupBy("source", "lang").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("n"), F.max("repeats").alias("m")).collect()}
+    assert all(abs(got[k][0] - budget[k]) <= 40 for k in budget) and got["a", "en"][1] == 3 and got["b", "fr"][1] == 1
+    again, _ = mixing.mix(df, goal, src)
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, used.collect()))
+
+
 def test_budgets_fill_siblings_first():
     leaves = [("D", "en", "a", 0.25, 10.0), ("D", "en", "b", 0.25, 100.0), ("D", "fr", "c", 0.25, 100.0), ("E", "en", "d", 0.25, 100.0)]
     got = mixing.budgets(leaves, 100.0)
