@@ -159,5 +159,42 @@ SELECT x AS doc_id_a, y AS doc_id_b FROM c JOIN n na ON na.doc_id = x JOIN n nb
 }
 
 
+_DOCS_WORDS = """fp AS (SELECT doc_id, CAST(min(created_at) AS DATE) AS day FROM document_fingerprints WHERE created_at IS NOT NULL GROUP BY doc_id),
+t AS (SELECT id AS doc_id, min(clean_text) AS clean_text FROM parsed_documents WHERE clean_text IS NOT NULL AND clean_text <> '' GROUP BY id),
+w AS (SELECT doc_id, day, list_filter(regexp_split_to_array(lower(clean_text), '[ \n]+'), lambda x: x <> '') AS w FROM t JOIN fp USING (doc_id)),
+s AS (SELECT DISTINCT doc_id, day, w[p] || ' ' || w[p+1] AS g FROM w, LATERAL (SELECT unnest(range(1, len(w))) AS p))"""
+ORACLE["p2_classes"] = f"""WITH {_DOCS_WORDS},
+d AS (SELECT doc_id, any_value(day) AS day, md5(string_agg(g, chr(1) ORDER BY g)) AS c, count(*) AS n FROM s GROUP BY doc_id),
+k AS (SELECT c, min(doc_id) AS rep, any_value(n) AS n, count(*) AS n_equal, min({{'d': day, 'i': doc_id}}) AS first FROM d GROUP BY c),
+cs AS (SELECT c, g FROM s JOIN k ON s.doc_id = k.rep),
+l AS (SELECT a.c AS x, b.c AS y, count(*) AS m FROM cs a JOIN cs b ON a.g = b.g AND a.c <> b.c GROUP BY 1, 2),
+lk AS (SELECT x, count(*) AS n_linked, min(ky.first) AS near FROM l JOIN k kx ON kx.c = x JOIN k ky ON ky.c = y WHERE m >= 0.7 * (kx.n + ky.n - m) - 1e-9 GROUP BY x)
+SELECT d.doc_id, k.first.i AS class_id, n_equal, coalesce(n_linked, 0) AS n_linked, CASE WHEN k.first.d < d.day THEN k.first.i END AS first_equal, CASE WHEN near.d < d.day THEN near.i END AS first_near
+FROM d JOIN k USING (c) LEFT JOIN lk ON lk.x = d.c WHERE d.day >= DATE '2026-03-01'"""
+_FORM = "lower(trim(regexp_replace(translate({0}, chr(9) || chr(160), '  '), ' +', ' ', 'g'), ' '))"
+ORACLE["p6_found"] = rf"""WITH RECURSIVE docs AS (SELECT DISTINCT ON (id) id, clean_text AS t, coalesce(sections, []) AS secs FROM parsed_documents WHERE length(clean_text) > 1500),
+lines AS (SELECT id, i - 1 AS no, {_FORM.format('line')} AS form FROM (SELECT id, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM docs)),
+heads AS (SELECT id, CAST(k AS INT) AS k, {_FORM.format('h')} AS form FROM (SELECT id, unnest(secs) AS h, generate_subscripts(secs, 1) AS k FROM docs)),
+walk AS (SELECT id, 0 AS k, CAST(-1 AS BIGINT) AS last, false AS found FROM docs
+ UNION ALL SELECT w.id, w.k + 1, coalesce(min(l.no), any_value(w.last)), min(l.no) IS NOT NULL FROM walk w JOIN heads h ON h.id = w.id AND h.k = w.k + 1 LEFT JOIN lines l ON l.id = w.id AND l.no > w.last AND l.form = h.form AND h.form <> '' GROUP BY w.id, w.k),
+opens AS (SELECT id, 0 AS k, CAST(0 AS BIGINT) AS a FROM docs UNION ALL SELECT id, k, last FROM walk WHERE found),
+spans AS (SELECT id, k, a, lead(a) OVER (PARTITION BY id ORDER BY k) AS b FROM opens)
+SELECT id, k AS section_no FROM spans JOIN docs USING (id)
+WHERE length(regexp_replace(array_to_string(list_slice(string_split(t, chr(10)), a + 1, coalesce(b, 1000000000)), chr(10)), '^[ \n]+|[ \n]+$', '', 'g')) > 1500"""
+ORACLE["p7_items"] = (
+    "WITH pairs AS (" + ORACLE["p7_found"] + r"""), d AS (SELECT doc_id, ' ' || array_to_string(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> ''), ' ') || ' ' AS t FROM documents WHERE text IS NOT NULL),
+i AS (SELECT item_id, ' ' || array_to_string(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> ''), ' ') || ' ' AS x FROM eval_items)
+SELECT item_id, count(DISTINCT doc_id) AS n_docs, CAST(count(*) FILTER (WHERE contains(d.t, i.x)) AS BIGINT) AS n_whole FROM pairs JOIN d USING (doc_id) JOIN i USING (item_id) GROUP BY 1"""
+)
+ORACLE["p5_stripped"] = rf"""WITH docs AS (SELECT DISTINCT ON (id) id, coalesce(source_id, '') AS source_id, clean_text, CAST(published_at AS DATE) AS day FROM parsed_documents),
+clusters AS (SELECT source_id, clean_text, min(day) AS day FROM docs WHERE clean_text <> '' GROUP BY 1, 2),
+lines AS (SELECT source_id, day, unnest(list_distinct(list_transform(string_split(clean_text, chr(10)), lambda line: {_NORM}))) AS form FROM clusters),
+counts AS (SELECT source_id, form, count(*) AS n, count(DISTINCT day) + count(*) FILTER (WHERE day IS NULL) AS n_days FROM lines WHERE form <> '' GROUP BY 1, 2),
+totals AS (SELECT source_id, count(*) AS n_all, count(DISTINCT day) + count(*) FILTER (WHERE day IS NULL) AS all_days FROM clusters GROUP BY 1),
+gone AS (SELECT source_id, list(form) AS forms FROM counts JOIN totals USING (source_id) WHERE n >= 3 AND n >= 0.1 * n_all AND n_days >= least(3, all_days) GROUP BY 1),
+cut AS (SELECT id, clean_text, string_split(clean_text, chr(10)) AS ls, list_filter(string_split(clean_text, chr(10)), lambda line: NOT list_contains(coalesce(forms, []), {_NORM})) AS kept FROM docs LEFT JOIN gone USING (source_id))
+SELECT id, md5(array_to_string(kept, chr(10))) AS stripped_md5, CAST(coalesce(len(ls) - len(kept), 0) AS INT) AS n_removed FROM cut"""
+
+
 def oracle_sql():
     return dict(ORACLE)
