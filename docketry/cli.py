@@ -79,7 +79,7 @@ def main(argv: list[str] | None = None) -> int:
         jobs.run_loop(jobs.read_stream(spark, args.raw), lambda raw, _: step(keep(raw)), f"{path}/loop-checkpoint", args.interval).awaitTermination()
         return 0
     raw = spark.read.parquet(args.raw) if args.raw else crawled(spark, settings, args.source)
-    done = step(keep(raw)).counters.first()
+    done = step(keep(raw)).first()
     print(f"Done: {done.processed} processed, {done.duplicates} duplicates, {done.errors} errors.")
     return 0
 

@@ -9,7 +9,7 @@ Outcomes: ``skipped`` (an earlier run planned its actions), ``unparsed`` (no tex
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,18 +72,53 @@ def fingerprints(df: DataFrame, order: Column, hash_name: str = "blake2b") -> Da
     return rows.select("doc_id", "ord", "content_hash", kernels.simhash_udf(tx.shingles("w", 2), hash_name).alias("simhash"))
 
 
-@dataclass
 class Run:
-    run_id: str
-    outcomes: DataFrame  # id, outcome, error, matched
-    documents: DataFrame  # processed ones, with classes, summary, scores and rationale
-    actions: DataFrame
-    index: DataFrame  # their chunks
-    fingerprints: DataFrame  # of the processed ones, for later runs
-    approvals: DataFrame
-    markers: DataFrame
-    audit: DataFrame
-    counters: DataFrame
+    """What a run makes; each table is worked out when it is first asked for.
+
+    outcomes (id, outcome, error, matched); documents: the processed ones with classes, summary, scores,
+    rationale and actions; actions; index: their chunks; fingerprints: theirs, for later runs;
+    approvals; markers; audit; counters.
+    """
+
+    def __init__(self, run_id: str, as_of: Column, hash_name: str, outcomes: DataFrame, unique: DataFrame, fingerprints: DataFrame):
+        self.run_id, self.as_of, self.hash_name = run_id, as_of, hash_name
+        self.outcomes, self.unique, self.fingerprints = outcomes, unique, fingerprints
+
+    @cached_property
+    def scored(self) -> DataFrame:
+        told = tx.summarize(self.unique).withColumn("summary", F.left("summary_text", F.lit(4096)))
+        rows = cl.risk(cl.classify(told))
+        return written(rows.withColumn("rationale", cl.rationale(rows)), "run-scored")
+
+    @cached_property
+    def actions(self) -> DataFrame:
+        return cl.plan_actions(self.scored, self.as_of)
+
+    @cached_property
+    def documents(self) -> DataFrame:
+        return notify.with_actions(self.scored, self.actions)
+
+    @cached_property
+    def index(self) -> DataFrame:
+        return retrieval.index_documents(self.scored, hash_name=self.hash_name)
+
+    @cached_property
+    def approvals(self) -> DataFrame:
+        return state.approval_requests(self.documents, self.as_of, self.run_id)
+
+    @cached_property
+    def markers(self) -> DataFrame:
+        last = F.create_map(*(F.lit(x) for kv in LAST_STAGE.items() for x in kv))
+        ends = self.outcomes.where("outcome <> 'skipped'").select(F.col("id").alias("document_id"), F.get(F.array(last[F.col("outcome")]), F.lit(0)).alias("last_stage"))
+        return state.stage_markers(ends, self.run_id)
+
+    @cached_property
+    def audit(self) -> DataFrame:
+        return audit(self.outcomes.where("outcome <> 'skipped'"), self.scored, self.actions, self.approvals, self.as_of)
+
+    @cached_property
+    def counters(self) -> DataFrame:
+        return counters(self.outcomes)
 
 
 def run(raw: DataFrame, run_id: str, as_of: Column, known: DataFrame | None = None, markers: DataFrame | None = None, hash_name: str = "blake2b") -> Run:
@@ -107,29 +142,10 @@ def run(raw: DataFrame, run_id: str, as_of: Column, known: DataFrame | None = No
     outcome = F.when(F.col("error").isNotNull(), "unparsed").when(F.col("kind") == "unique", "processed").otherwise("duplicate")
     outcomes = read.select("id", "error").join(judged.select(F.col("doc_id").alias("id"), "kind", "matched"), "id", "left").select("id", outcome.alias("outcome"), "error", "matched")
     if done is not None:
-        outcomes = outcomes.unionByName(skipped.select("id", F.lit("skipped").alias("outcome"), F.lit(None).cast("string").alias("error"), F.lit(None).cast("string").alias("matched")))
-    unique = good.join(judged.where("kind = 'unique'").select(F.col("doc_id").alias("id")), "id", "left_semi")
-    told = tx.summarize(unique).withColumn("summary", F.left("summary_text", F.lit(4096)))
-    scored = cl.risk(cl.classify(told))
-    scored = written(scored.withColumn("rationale", cl.rationale(scored)), "run-scored")
-    actions = cl.plan_actions(scored, as_of)
-    documents = notify.with_actions(scored, actions)
-    approvals = state.approval_requests(documents, as_of, run_id)
-    ends = outcomes.where("outcome <> 'skipped'")
-    last = F.create_map(*(F.lit(x) for kv in LAST_STAGE.items() for x in kv))
-    new_markers = state.stage_markers(ends.select(F.col("id").alias("document_id"), F.get(F.array(last[F.col("outcome")]), F.lit(0)).alias("last_stage")), run_id)
-    return Run(
-        run_id,
-        outcomes,
-        documents,
-        actions,
-        retrieval.index_documents(scored, hash_name=hash_name),
-        prints.join(judged.where("kind = 'unique'").select("doc_id"), "doc_id", "left_semi"),
-        approvals,
-        new_markers,
-        audit(ends, scored, actions, approvals, as_of),
-        counters(outcomes),
-    )
+        none = F.lit(None).cast("string")
+        outcomes = outcomes.unionByName(skipped.select("id", F.lit("skipped").alias("outcome"), none.alias("error"), none.alias("matched")))
+    kept = judged.where("kind = 'unique'").select("doc_id")
+    return Run(run_id, as_of, hash_name, outcomes, good.join(kept.toDF("id"), "id", "left_semi"), prints.join(kept, "doc_id", "left_semi"))
 
 
 def audit(outcomes: DataFrame, scored: DataFrame, actions: DataFrame, approvals: DataFrame, at: Column) -> DataFrame:
@@ -180,13 +196,15 @@ def stored(spark: SparkSession, path: str, name: str) -> DataFrame | None:
     return spark.read.parquet(f"{path}/{name}") if exists(spark, f"{path}/{name}") else None
 
 
-def run_stored(raw: DataFrame, path: str, run_id: str, as_of: Column, backfill: bool = False) -> Run:
-    """A run against the tables under ``path``, which its results are appended to; a backfill knows no earlier fingerprints."""
+def run_stored(raw: DataFrame, path: str, run_id: str, as_of: Column, backfill: bool = False) -> DataFrame:
+    """A run against the tables under ``path``, which its results are appended to; gives the counters.
+
+    A backfill knows no earlier fingerprints.
+    """
     spark = raw.sparkSession
-    known = None if backfill else stored(spark, path, "fingerprints")
-    done = run(raw, run_id, as_of, known, stored(spark, path, "markers"))
+    done = run(raw, run_id, as_of, None if backfill else stored(spark, path, "fingerprints"), stored(spark, path, "markers"))
     kept = {name: written(getattr(done, name), f"run-{name}") for name in TABLES}  # before any table it reads changes
     counted = written(done.counters, "run-counters")
     for name, rows in kept.items():
         rows.write.mode("append").parquet(f"{path}/{name}")
-    return Run(run_id, done.outcomes, counters=counted, **kept)
+    return counted
