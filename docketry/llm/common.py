@@ -31,7 +31,9 @@ def bit_filter(keys: DataFrame, count: int) -> np.ndarray:
     the join behind the filter but no rows.  It is packed by ranges in the executors.
     """
     bits = min(max(1 << 20, 1 << (32 * max(count, 1) - 1).bit_length()), FILTER_BITS)
-    slots = keys.select(F.col("key").bitwiseAND(F.lit(bits - 1)).alias("slot")).distinct()
+    slots = keys.select(F.col("key").bitwiseAND(F.lit(bits - 1)).alias("slot"))
+    if count > bits // 32:  # so many that a range might get more of them than a worker holds
+        slots = slots.distinct()
     packed = slots.groupBy(F.shiftright("slot", 20).alias("range")).applyInPandas(_pack_bits, "range bigint, bits binary").collect()
     out = np.zeros(bits >> 3, np.uint8)
     for r in packed:
