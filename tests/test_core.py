@@ -1,5 +1,8 @@
 import random
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -186,6 +189,46 @@ def test_top_k(spark):
     assert {r.item_id for r in same.collect()} == {1, 3, 5, 7}
 
 
+def test_top_k_needs_little_memory():
+    """A batch of items against many queries: what a task holds besides its input stays small, and the hits are those of all scores."""
+    rng = np.random.default_rng(4)
+    q, items = rng.integers(-2, 3, (3000, 8)).astype(float), rng.integers(-2, 3, (4000, 8)).astype(float)
+    ids, k = np.array([f"i{n:04d}" for n in rng.permutation(len(items))]), 4
+    tracemalloc.start()
+    best = retrieval._Best(len(q), k)
+    for at in range(0, len(items), retrieval.ITEM_BLOCK):
+        best.add(np.arange(len(q)), q, items[at : at + retrieval.ITEM_BLOCK], ids[at : at + retrieval.ITEM_BLOCK])
+    asker, found, _ = best.rows(0, len(q))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6 < q.shape[0] * items.shape[0] * 8
+    for n in range(0, len(q), 100):
+        scores = np.round(q[n] @ items.T, retrieval.RANK_DECIMALS)
+        assert list(found[asker == n]) == list(ids[np.lexsort((ids, -scores))[:k]])
+
+
+def test_a_null_group_has_no_items(spark):
+    items = spark.createDataFrame([(1, [1.0], None), (2, [1.0], "a")], "item_id bigint, vector array<double>, group string")
+    got = retrieval.top_k(items.withColumnRenamed("item_id", "query_id"), items, 2, same="group").collect()
+    assert [(r.query_id, r.item_id) for r in got] == [(2, 2)]
+
+
+def _peak(run):
+    tracemalloc.start()
+    out = run()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return out, peak
+
+
+def test_simhash_of_a_batch_needs_little_memory():
+    """Of the sequences of a batch only a slice is Python objects at a time."""
+    lists = [[f"word{n} word{m}" for m in range(300)] for n in range(2000)]
+    batch = pa.array(lists)
+    got, peak = _peak(lambda: kernels._by_slices(lambda x: pa.array(kernels.simhashes(x, known=kernels.Hashed("md5"))), pa.int64())(batch))
+    assert peak < 80e6 and got.to_pylist()[:3] == kernels.simhashes(lists[:3], "md5").tolist()
+
+
 def test_state(spark):
     a = spark.createDataFrame([("x", 1, "old"), ("x", 2, "new"), ("y", 1, "only")], "k string, v int, s string")
     assert {r.s for r in state.latest(a, "k", "v").collect()} == {"new", "only"}
