@@ -11,8 +11,8 @@ the part distances sum up to no more than the true distance.
 Pivot distances alone would compare each new document with all of similar size, which grows
 quadratically; so the range join on the first pivot distance also asks for a shared anchor: of
 a set's sequences in a fixed rare-first order the first (1 - t) * size + 1 must share one with
-any set that agrees (lossless for any order).  The order is fitted once, on at most
-``ORDER_DOCS`` documents of the history, and stored; every document is indexed by it.
+any set that agrees (lossless for any order).  The order is fitted once, on the whole history, and
+stored; every document is indexed by it.
 
 The history is read from its stored pivot table (``PivotIndex``), which is partitioned by range of
 the first pivot distance: incoming documents open only the ranges they can reach, and of these
@@ -40,7 +40,6 @@ SIMILARITY = 0.7
 PARTS = 128
 SKETCH = 1 << 22  # slots of the sequence counts that set the order
 RANGE = 1 << 16
-ORDER_DOCS = 200_000  # documents of the history that the order is fitted on, at most
 TASK_ANCHORS = 400_000  # anchors a task of the range join is to hold
 SALT_SLOTS = 1 << 20
 HOT = 20_000  # postings of a slot of anchors that one task judges
@@ -405,11 +404,8 @@ class PivotIndex:
     def start(self, texts: DataFrame, days: DataFrame) -> None:
         """Fix the order and accept the first documents."""
         days = written(days.select("doc_id", "day"), "history-days")
-        n = days.count()
-        picked = sample = _id_filter(days, n)
-        if n > ORDER_DOCS:
-            sample = _id_filter(days.where(F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(1 << 30)) < int((1 << 30) * ORDER_DOCS / n)), ORDER_DOCS)
-        chosen = texts.select("doc_id", "clean_text", F.xxhash64("doc_id").alias("key")).mapInArrow(_picked(sample, lambda batches: (b.select([1]) for b in batches)), "clean_text string")
+        picked = _id_filter(days, days.count())
+        chosen = texts.select("doc_id", "clean_text", F.xxhash64("doc_id").alias("key")).mapInArrow(_picked(picked, lambda batches: (b.select([1]) for b in batches)), "clean_text string")
         sequence_ranks(chosen).write.mode("overwrite").parquet(f"{self.path}/order")
         self._order = None
         self.append(self._rows(texts, picked), days)

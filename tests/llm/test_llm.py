@@ -124,6 +124,18 @@ def test_batches_one_by_one_or_together(spark, tmp_path):
     assert stored.count() == sum(bool(s) for s in sets.values()) and stored.where("band = 0").count() < stored.count()
 
 
+def test_the_order_is_fitted_on_the_whole_history(spark, monkeypatch, tmp_path):
+    """However many documents there are, every one is counted."""
+    monkeypatch.setattr(increments, "ORDER_DOCS", 10, raising=False)  # there was such a limit
+    rows = [(f"d{n}", f"pair number{n} of words{n}") for n in range(60)]
+    texts = spark.createDataFrame(rows, "doc_id string, clean_text string")
+    index = increments.PivotIndex(spark, f"file://{tmp_path}/index")
+    index.start(texts, texts.select("doc_id", F.to_date(F.lit("2026-01-01")).alias("day")))
+    slots = set(increments._slot(increments.sequences([t for _, t in rows])[1]).tolist())
+    ranked = {i for i, rank in enumerate(index._ranks().value) if rank}
+    assert ranked == slots and len(slots) > 100
+
+
 def test_pivot_index_empty(spark, tmp_path):
     none = spark.createDataFrame([], "doc_id string, clean_text string")
     days = spark.createDataFrame([], "doc_id string, day date")
