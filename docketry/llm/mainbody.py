@@ -29,7 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, hash64, md5, sliced, sorted_contains, written
+from .common import BROADCAST_ROWS, bit_filter, hash64, may_contain, md5, sliced, written  # noqa: F401 - tests set BROADCAST_ROWS
+from .hashing import mix
 
 INLINE = frozenset("a b strong em i span sup sub u".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -233,8 +234,8 @@ def body_of(html: bool, blocks: list[str], sigs: list[str], own) -> list[str]:
         block = blocks[i]
         taken = 1
         if not (mine := own(block)) and not html:
-            for more in (2, 3):  # wrapped lines
-                if own(" ".join(blocks[i : i + more])):
+            for more, line in zip((2, 3), _wrapped(blocks, i)):
+                if own(line):
                     mine, taken = True, more
                     break
         if not mine:
@@ -277,50 +278,75 @@ def own_blocks(read: DataFrame) -> DataFrame:
     return own.select(F.when(~F.col("all"), F.col("source_id")).alias("source_id"), "key").distinct()
 
 
+def _wrapped(blocks: list[str], i: int) -> list[str]:
+    """The lines of a plain text page that one of its lines may be the first part of."""
+    return [" ".join(blocks[i : i + more]) for more in (2, 3)]
+
+
+def _probes(sources: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """One number for a key of one source."""
+    return mix(keys.view(np.uint64) + sources.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+
+
+def _own_probes(batches):
+    """``probe`` of the rows of ``own_blocks``: the key where it holds on every site, else that of its source."""
+    for batch in batches:
+        sources, keys = batch.column(0).to_pylist(), batch.column(1).to_numpy()
+        of_source = _probes(np.array([0 if s is None else hash64(s) for s in sources], np.int64), keys)
+        yield pa.RecordBatch.from_arrays([pa.array(np.where(np.array([s is None for s in sources], bool), keys, of_source))], names=["probe"])
+
+
+def _line_probes(bits):
+    """(row, key, probe) of all lines of a page that the bitmap says may be a site's own."""
+
+    def run(batches):
+        known: dict[str, int] = {}
+        for batch in batches:
+            rows, sources, keys = [], [], []
+            for row, source, html, blocks in zip(*(c.to_pylist() for c in batch.columns)):
+                lines = set(blocks)
+                if not html:
+                    lines.update(t for i in range(len(blocks)) for t in _wrapped(blocks, i))
+                lines.update([part for t in lines for part in _keys_of(t)])
+                at = hash64(source)
+                for text in lines:
+                    key = known.get(text)
+                    if key is None:
+                        key = known[text] = block_key(text)
+                    rows.append(row), sources.append(at), keys.append(key)
+                if len(known) > 100_000:
+                    known.clear()
+            row, source, key = np.array(rows, np.int64), np.array(sources, np.int64), np.array(keys, np.int64)
+            row, key, probe = np.tile(row, 2), np.tile(key, 2), np.concatenate([key, _probes(source, key)])
+            some = may_contain(bits.value, probe.view(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(row[some]), pa.array(key[some]), pa.array(probe[some])], names=["row", "key", "probe"])
+
+    return run
+
+
 def main_body(pages: DataFrame) -> DataFrame:
-    """(id, block_no, block, block_md5): the blocks of the main body of each page, in order."""
+    """(id, block_no, block, block_md5): the blocks of the main body of each page, in order.
+
+    Each page is joined with those of its own lines that are a site's own, at every size; a bitmap
+    of these lines keeps all but a few others out of the join.
+    """
     slim = pages.where("content_format in ('html', 'text')").select("id", F.coalesce("source_id", F.lit("")).alias("source_id"), "content_format", "content")
-    read = written(
-        slim.mapInArrow(sliced(_pages), "id string, source_id string, html boolean, blocks array<string>, sigs array<string>, inside array<bigint>, outside array<bigint>"),
-        "main-body",
-    )
-    own = own_blocks(read)
-    rows = own.limit(BROADCAST_ROWS + 1).toPandas()
-    if len(rows) <= BROADCAST_ROWS:
-        everywhere = np.sort(rows.loc[rows["source_id"].isna(), "key"].to_numpy(np.int64))
-        of_source = {s: np.sort(part["key"].to_numpy(np.int64)) for s, part in rows.groupby("source_id")}
-        table = pages.sparkSession.sparkContext.broadcast((everywhere, of_source))
-        flagged = read.select("id", "source_id", "html", "blocks", "sigs", F.array().cast("array<bigint>").alias("own"))
-    else:  # too many sites to send the keys to every task: bring each page its own
-        table = None
-        keys = read.select("id", "source_id", F.explode_outer(F.col("blocks")).alias("b"))
-        keyed = keys.mapInArrow(_line_keys, "id string, source_id string, key bigint").distinct()
-        mine = keyed.join(own.where("source_id is null").select("key"), "key", "left_semi").select("id", "key")
-        mine = mine.unionAll(keyed.join(own.where("source_id is not null"), ["source_id", "key"], "left_semi").select("id", "key"))
-        flagged = read.select("id", "source_id", "html", "blocks", "sigs").join(mine.groupBy("id").agg(F.collect_set("key").alias("own")), "id", "left")
+    read = slim.mapInArrow(sliced(_pages), "id string, source_id string, html boolean, blocks array<string>, sigs array<string>, inside array<bigint>, outside array<bigint>")
+    read = written(read.withColumn("row", F.monotonically_increasing_id()), "main-body")  # numbers each delivery once and for all
+    own = written(own_blocks(read).mapInArrow(_own_probes, "probe bigint").distinct(), "main-body-own")
+    bits = pages.sparkSession.sparkContext.broadcast(bit_filter(own.select(F.col("probe").alias("key")), own.count()))
+    lines = read.select("row", "source_id", "html", "blocks").mapInArrow(sliced(_line_probes(bits)), "row bigint, key bigint, probe bigint")
+    mine = lines.join(own, "probe", "left_semi").groupBy("row").agg(F.collect_set("key").alias("own"))
+    flagged = read.select("row", "id", "html", "blocks", "sigs").join(mine, "row", "left").select("id", "html", "blocks", "sigs", "own")
 
     def run(batches):
-        shared = table.value if table is not None else None
-        known: dict[tuple[str, str], bool] = {}
         for batch in batches:
             ids, nos, texts, hashes = [], [], [], []
-            for id_, source, html, blocks, sigs, keys in zip(*(c.to_pylist() for c in batch.columns)):
-                mine = set(keys or ())
-
-                def own_key(text: str) -> bool:
-                    if shared is None:
-                        return block_key(text) in mine
-                    got = known.get((source, text))
-                    if got is None:
-                        key = np.array([block_key(text)], np.int64)
-                        got = bool(sorted_contains(shared[0], key)[0]) or (source in shared[1] and bool(sorted_contains(shared[1][source], key)[0]))
-                        if len(known) > 200_000:
-                            known.clear()
-                        known[source, text] = got
-                    return got
-
-                def own(text: str) -> bool:
-                    return own_key(text) or (len(parts := _keys_of(text)) > 1 and all(map(own_key, parts)))
+            for id_, html, blocks, sigs, keys in zip(*(c.to_pylist() for c in batch.columns)):
+                mine = frozenset(keys or ())
+
+                def own(text: str, mine=mine) -> bool:
+                    return bool(mine) and (block_key(text) in mine or (len(parts := _keys_of(text)) > 1 and all(block_key(p) in mine for p in parts)))
 
                 for no, text in enumerate(body_of(html, blocks, sigs or [], own)):
                     ids.append(id_), nos.append(no), texts.append(text), hashes.append(md5(text))
@@ -330,13 +356,3 @@ def main_body(pages: DataFrame) -> DataFrame:
             )
 
     return flagged.mapInArrow(sliced(run), "id string, block_no int, block string, block_md5 string")
-
-
-def _line_keys(batches):
-    for batch in batches:
-        ids, sources, keys = [], [], []
-        for id_, source, block in zip(*(c.to_pylist() for c in batch.columns)):
-            if block:
-                for text in {block, *_keys_of(block)}:
-                    ids.append(id_), sources.append(source), keys.append(block_key(text))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(sources, pa.string()), pa.array(keys, pa.int64())], names=["id", "source_id", "key"])

@@ -47,6 +47,19 @@ def test_main_body_teasers_of_a_title(spark, monkeypatch, limit):
     assert not {"Terms", "See also", "Share this with your Desk network"} & {r.block for r in got}
 
 
+def test_main_body_is_one_plan_at_every_size(spark, monkeypatch):
+    """A site's own line that plain text pages wrap is known whatever the number of such lines, and re-sent rows and pages without id keep theirs."""
+    wrapped = "Share this with your\nDesk network\nThe adviser shall keep its own ledger until the close of the period."
+    rows = _pages() + [("t", "s", "text", wrapped, None, None, None), (None, "s", "text", wrapped, None, None, None), ("t", "other", "text", wrapped, None, None, None)]
+    got = []
+    for limit in (common.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(mainbody, "BROADCAST_ROWS", limit)
+        monkeypatch.setattr(common, "FILTER_BITS", 1 << 29 if limit else 64)  # and with a bitmap that everything passes
+        got.append(sorted((r.id or "", r.block_no, r.block) for r in mainbody.main_body(spark.createDataFrame(rows, RAW)).collect()))
+    assert got[0] == got[1]
+    assert [b for i, _, b in got[1] if i == ""] == ["The adviser shall keep its own ledger until the close of the period."]
+
+
 def test_main_body_empty(spark):
     assert mainbody.main_body(spark.createDataFrame([], RAW)).count() == 0
 
