@@ -229,6 +229,18 @@ def test_simhash_of_a_batch_needs_little_memory():
     assert peak < 80e6 and got.to_pylist()[:3] == kernels.simhashes(lists[:3], "md5").tolist()
 
 
+def test_only_cited_documents_are_cut_twice(spark, monkeypatch):
+    """An index that is not stored: its vectors are made once, and chunks to cite only for documents with a hit."""
+    rows = [(f"d:{n}", "s", "EU", f"title {n}", None, f"text{n} alpha beta") for n in range(20)]
+    docs = spark.createDataFrame(rows, "id string, source_id string, jurisdiction string, title string, reference_number string, clean_text string")
+    asked = spark.createDataFrame([("q", "text3 alpha", "EU")], "query_id string, text string, jurisdiction string")
+    index, cut, make = retrieval.index_documents(docs, hash_name="md5"), [], retrieval.index_documents
+    monkeypatch.setattr(retrieval, "index_documents", lambda rows, *args, **kw: cut.append(rows.count()) or make(rows, *args, **kw))
+    twice = retrieval.search(asked, index, 2, 0.1, True, hash_name="md5", documents=docs).collect()
+    assert cut == [6] and "d:3" in {r.document_id for r in twice}
+    assert sorted(twice) == sorted(retrieval.search(asked, index, 2, 0.1, True, hash_name="md5").collect())
+
+
 def test_state(spark):
     a = spark.createDataFrame([("x", 1, "old"), ("x", 2, "new"), ("y", 1, "only")], "k string, v int, s string")
     assert {r.s for r in state.latest(a, "k", "v").collect()} == {"new", "only"}
