@@ -67,15 +67,19 @@ def chosen_together(n_values: int, radius: int = RADIUS) -> int:
     return m
 
 
-def near_pairs(fingerprints: DataFrame, radius: int = RADIUS, together: int | None = None) -> DataFrame:
-    """(a, b, distance), a < b: pairs of distinct simhash values within the radius, each once."""
+def near_pairs(fingerprints: DataFrame, radius: int = RADIUS, together: int | None = None, asked: DataFrame | None = None) -> DataFrame:
+    """(a, b, distance), a < b: pairs of distinct simhash values within the radius, each once.
+
+    With ``asked`` (simhash) instead each of these as a with all its neighbours as b, larger or smaller.
+    """
     values = fingerprints.select("simhash").where("simhash is not null").distinct()
     m = together or chosen_together(values.count(), radius)
     n = radius + m
     picks = list(combinations(range(n), m))
     keys = F.array(*(F.struct(F.lit(i).alias("pick"), F.xxhash64(*(_blocks(F.col("simhash"), n)[j] for j in pick)).alias("key")) for i, pick in enumerate(picks)))
     cut = values.select("simhash", F.explode(keys).alias("x")).select("simhash", "x.pick", "x.key")
-    pairs = cut.withColumnRenamed("simhash", "a").join(cut.withColumnRenamed("simhash", "b"), ["pick", "key"]).where("a < b")
+    own = cut if asked is None else cut.join(asked.select("simhash").distinct(), "simhash", "left_semi").select("simhash", "pick", "key")
+    pairs = own.withColumnRenamed("simhash", "a").join(cut.withColumnRenamed("simhash", "b"), ["pick", "key"]).where("a < b" if asked is None else "a <> b")
     pairs = pairs.withColumn("distance", hamming("a", "b")).where(F.col("distance") <= radius)
     # a pair is kept under the first pick of its equal blocks only
     equal = [(x == y).cast("int") for x, y in zip(_blocks(F.col("a"), n), _blocks(F.col("b"), n))]
@@ -102,8 +106,11 @@ def greedy_dedup(docs: DataFrame, radius: int = RADIUS, known: DataFrame | None
     rows = rows.select("doc_id", F.struct("new", "ord").alias("ord"), "content_hash", "simhash")
     first = rows.groupBy("simhash").agg(F.min(F.struct("ord", "doc_id")).alias("head")).select("simhash", F.col("head.ord").alias("ord"), F.col("head.doc_id").alias("doc_id"))
     first = written(first, "dedup-first")
-    pairs = near_pairs(first, radius)
-    both = pairs.select("a", "b", "distance").unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "distance"))
+    if known is None:
+        pairs = near_pairs(first, radius)
+        both = pairs.select("a", "b", "distance").unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "distance"))
+    else:  # how known ones lie to each other decides nothing
+        both = near_pairs(first, radius, asked=first.where("ord.new = 1"))
     order = first.select("simhash", "ord")
     earlier = both.join(order.toDF("a", "ord_a"), "a").where("ord_a.new = 1").join(order.toDF("b", "ord_b"), "b").where("ord_b < ord_a")
     earlier = written(earlier.select("a", "b", "ord_b", "distance"), "dedup-links")

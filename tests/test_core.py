@@ -229,6 +229,33 @@ def test_simhash_of_a_batch_needs_little_memory():
     assert peak < 80e6 and got.to_pylist()[:3] == kernels.simhashes(lists[:3], "md5").tolist()
 
 
+def test_simhash_of_long_lists_needs_little_memory():
+    """Votes of long lists: no number for each bit of each hash."""
+    lists = [[f"word{m % 1000}" for m in range(20_000)] for n in range(20)]
+    got, peak = _peak(lambda: kernels.simhashes(lists, "md5"))
+    assert peak < 30e6 and got[0] == kernels.simhashes([[f"word{m}" for m in range(1000)]], "md5")[0]
+
+
+def test_simhash_of_words(spark):
+    """Runs of two words made in the worker vote as those made in the JVM."""
+    rows = [([],), (None,), (["a"],), (["a", "b"],), (["a", "b", "a", "b", "c"],), (["a", "a"],), ([f"w{i % 7}" for i in range(50)],)]
+    df = spark.createDataFrame(rows, "w array<string>")
+    both = df.select(kernels.simhash_words_udf(F.col("w"), "md5").alias("a"), kernels.simhash_udf(tx.shingles("w", 2), "md5").alias("b")).collect()
+    assert [r.a for r in both] == [r.b for r in both] and len({r.a for r in both}) == 6
+
+
+def test_pairs_of_asked_fingerprints(spark):
+    """Only pairs with an asked fingerprint, from its side."""
+    rng = random.Random(8)
+    values = [rng.getrandbits(62) for _ in range(30)]
+    values += [v ^ (1 << rng.randrange(62)) ^ (1 << rng.randrange(62)) for v in values]
+    df = spark.createDataFrame([(v,) for v in values], "simhash bigint")
+    every = {(r.a, r.b, r.distance) for r in dedup.near_pairs(df).collect()}
+    asked = set(values[10:40])
+    got = dedup.near_pairs(df, asked=df.where(F.col("simhash").isin(*asked))).collect()
+    assert sorted((r.a, r.b, r.distance) for r in got) == sorted((a, b, d) for x, y, d in every for a, b in ((x, y), (y, x)) if a in asked)
+
+
 def test_only_cited_documents_are_cut_twice(spark, monkeypatch):
     """An index that is not stored: its vectors are made once, and chunks to cite only for documents with a hit."""
     rows = [(f"d:{n}", "s", "EU", f"title {n}", None, f"text{n} alpha beta") for n in range(20)]
